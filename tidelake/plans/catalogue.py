@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from tidelake.plans import problem_oracles, problems
+from tidelake.plans import dashboards, problem_oracles, problems, reference
 
 
 def queries() -> dict:
-    return problems.queries()
+    return problems.queries() | reference.queries() | dashboards.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    known = queries()
-    return {k: v for k, v in problem_oracles.ORACLES.items() if k in known}
+    return problem_oracles.ORACLES | reference.ORACLES | dashboards.oracle_sql()
