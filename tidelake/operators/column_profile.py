@@ -29,42 +29,53 @@ class Limits:
 
 
 def magnitude_bin(x: Column) -> Column:
-    """A non-decreasing function of x with FINE steps a doubling; 0 for zero."""
+    """A non-decreasing function of x with FINE steps a doubling; 0 for zero, null for null."""
     x = x.cast("double")
     step = F.floor(F.log2(F.abs(x)) * FINE) + 20_000
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0).cast("bigint"))
+    return F.when(x > 0, step).when(x < 0, -step).when(x == 0, F.lit(0).cast("bigint"))
 
 
 def value_counts(df: DataFrame, load: dict[str, Column], columns: list[str], patterns: dict[str, str] | None = None) -> DataFrame:
-    """Load keys, column_name, num, txt, n: how often each value of each column stands in each load.
+    """Load keys, column_id, num, txt, bad, n: how often each value of each column stands in each load.
 
-    Numbers (any numeric type) are counted as num decimal(38,10), all else as txt with ``bad`` = breaks the column's
-    pattern. A null value has both null. NaN counts as text NaN."""
+    column_id is the column's place in ``columns`` (four bytes in the shuffle instead of a name in each row). Numbers
+    (any numeric type) are counted as num decimal(38,10), all else as txt with ``bad`` = breaks the column's pattern.
+    A null value has both null. NaN counts as text NaN."""
     patterns = patterns or {}
     kinds = dict(df.dtypes)
     rows = []
-    for c in columns:
+    for place, c in enumerate(columns):
         numeric = kinds[c].startswith(("decimal", "int", "bigint", "smallint", "tinyint", "double", "float"))
         value = df[c]
         num = value.try_cast("decimal(38,10)") if numeric else F.lit(None).cast("decimal(38,10)")
         txt = F.when(value.isNotNull() & num.isNull(), value.cast("string"))
         bad = F.coalesce(~value.cast("string").rlike(patterns[c]), F.lit(False)) if c in patterns else F.lit(False)
-        rows.append(F.struct(F.lit(c).alias("column_name"), num.alias("num"), txt.alias("txt"), bad.alias("bad")))
+        rows.append(F.struct(F.lit(place).alias("column_id"), num.alias("num"), txt.alias("txt"), bad.alias("bad")))
     keys = [k.alias(f"_k{i}") for i, k in enumerate(load.values())]
     out = df.select(*keys, F.explode(F.array(*rows)).alias("_v")).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(load)], "_v.*")
-    return out.groupBy(*load, "column_name", "num", "txt", "bad").agg(F.count("*").alias("n"))
+    if all(kinds[c].startswith("decimal") for c in columns) and not patterns:  # nothing but numbers to count: txt and bad need not travel
+        out = out.groupBy(*load, "column_id", "num").agg(F.count("*").alias("n"))
+        return out.withColumns({"txt": F.lit(None).cast("string"), "bad": F.lit(False)})
+    return out.groupBy(*load, "column_id", "num", "txt", "bad").agg(F.count("*").alias("n"))
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_id as column_name."""
+    return df.withColumn("column_name", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_id") + 1)).drop("column_id")
 
 
 def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, median (double; the mean of the two middle values when their number is even) of the numbers in value counts."""
-    by = [*keys, "column_name"]
-    nums = counts.filter("num is not null").withColumn("_bin", magnitude_bin(F.col("num")))
+    by = [*keys, "column_id"]
+    # Null values keep a null bin rather than being filtered: with the same plan below, all readers of the counts share one shuffle.
+    nums = counts.withColumn("_bin", magnitude_bin(F.col("num")))
     bins = nums.groupBy(*by, "_bin").agg(F.sum("n").alias("_in"))
     along = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumns({"_upto": F.sum("_in").over(along), "_all": F.sum("_in").over(Window.partitionBy(*by))})
+    held = F.when(F.col("_bin").isNotNull(), F.col("_in")).otherwise(0)
+    bins = bins.withColumns({"_upto": F.sum(held).over(along), "_all": F.sum(held).over(Window.partitionBy(*by))})
     lo, hi = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
-    bins = bins.withColumns({"_lo": lo, "_hi": hi, "_below": F.col("_upto") - F.col("_in")}).filter("_upto >= _lo and _below < _hi").select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col("_bin").alias("_b"), "_lo", "_hi", "_below")
-    same = F.col("_bin") == F.col("_b")
+    bins = bins.withColumns({"_lo": lo, "_hi": hi, "_below": F.col("_upto") - F.col("_in")}).filter("_bin is not null and _upto >= _lo and _below < _hi").select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col("_bin").alias("_b"), "_lo", "_hi", "_below")
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
     for i, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
     inner = Window.partitionBy(*by, "_bin").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,7 +86,7 @@ def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def profile(counts: DataFrame, keys: list[str]) -> DataFrame:
     """One row a load and column: rows, nulls, nonpositive, distinct, top (count of the commonest value), low, high, mean, low_text, high_text, violations, median."""
-    by = [*keys, "column_name"]
+    by = [*keys, "column_id"]
     value = F.col("num").isNotNull() | F.col("txt").isNotNull()
     out = counts.groupBy(*by).agg(
         F.sum("n").alias("rows"),
@@ -101,29 +112,27 @@ def findings(profiles: DataFrame, series: list[str], load: str, step: int, limit
     """profiles' keys and finding, one row for each way a load stands out.
 
     series: the keys whose loads follow one another; load: the bigint key that numbers them, step apart."""
-    by = [*series, "column_name"]
+    by = [*series, "column_id"]
     big = profiles.filter(F.col("rows") >= limits.rows).withColumn("values", F.col("rows") - F.col("nulls"))
     usable = (F.col("values") >= limits.values) & (F.col("median") > 0)
-    before = big.filter(usable).select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(by)], (F.col(load) + step).alias("_at"), F.col("median").alias("_before"))
-    same = F.col(load) == F.col("_at")
-    for i, k in enumerate(by):
-        same = same & F.col(k).eqNullSafe(F.col(f"_p{i}"))
-    both = big.join(before, same, "left")
+    big = big.withColumn("_usable", usable)
+    earlier = F.lag(F.struct(load, "median", "_usable")).over(Window.partitionBy(*by).orderBy(load))
+    both = big.withColumn("_earlier", earlier).withColumn("_before", F.when((F.col("_earlier")[load] == F.col(load) - step) & F.col("_earlier._usable"), F.col("_earlier.median")))
     over = lambda part, share, whole: F.col(part) * 1000 > F.col(whole) * round(share * 1000)  # noqa: E731  exact in integers
     found = F.array(
         F.when(over("nulls", limits.null_share, "rows"), F.lit("null_share")),
         F.when(over("nonpositive", limits.nonpositive_share, "values"), F.lit("nonpositive_share")),
         F.when((F.col("values") >= limits.values) & over("top", limits.dominant_share, "values"), F.lit("dominant_value")),
-        F.when(usable & (F.greatest("median", "_before") > limits.median_factor * F.least("median", "_before")) & F.col("_before").isNotNull(), F.lit("median_shift")),
+        F.when(F.col("_usable") & (F.greatest("median", "_before") > limits.median_factor * F.least("median", "_before")) & F.col("_before").isNotNull(), F.lit("median_shift")),
     )
-    return both.select(*series, load, "column_name", F.explode(F.array_compact(found)).alias("finding"))
+    return both.select(*series, load, "column_id", F.explode(F.array_compact(found)).alias("finding"))
 
 
 def drift(counts: DataFrame, series: list[str], load: str, step: int) -> DataFrame:
     """Population stability index and chi-square of each load's numbers against the load before, over magnitude doublings.
 
     Shares of an empty bin are taken as half a row's. Loads without a predecessor have no row."""
-    by = [*series, "column_name"]
+    by = [*series, "column_id"]
     bins = counts.filter("num is not null").withColumn("_bin", F.floor(magnitude_bin(F.col("num")) / FINE)).groupBy(*by, load, "_bin").agg(F.sum("n").alias("n"))
     now = bins.select(*by, load, "_bin", F.col("n").alias("now"), F.lit(0).cast("bigint").alias("was"))
     old = bins.select(*by, (F.col(load) + step).alias(load), "_bin", F.lit(0).cast("bigint").alias("now"), F.col("n").alias("was"))

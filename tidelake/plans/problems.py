@@ -109,28 +109,42 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).filter("marked = 'filled'").select("symbol", "kline_interval", "slot_epoch")
 
 
-def load_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Value counts of each load: a table, symbol and UTC hour of ingest."""
-    load = lambda name: {"table_name": F.lit(name), "symbol": F.col("symbol"), "load_epoch": floor_to(F.unix_seconds(utc_timestamp(F.col("ingest_time"))), 3600)}
-    trades = column_profile.value_counts(table(spark, d, "processed_trades"), load("processed_trades"), ["price", "qty"])
-    bars = column_profile.value_counts(table(spark, d, "processed_klines").filter("interval = '1m'"), load("processed_klines"), ["volume"])
-    return trades.unionByName(bars).filter("load_epoch is not null")
+#: The profiled columns of each table.
+PROFILED = {"processed_trades": ["price", "qty"], "processed_klines": ["volume"]}
+
+
+def each_load(spark: SparkSession, d: str, build) -> DataFrame:
+    """build(value counts by symbol and UTC hour of ingest) of each profiled table, side by side, with table and column names."""
+    out = None
+    for name, columns in PROFILED.items():
+        rows = table(spark, d, name)
+        if name == "processed_klines":
+            rows = rows.filter("interval = '1m'")
+        rows = rows.withColumn("_hour", floor_to(F.unix_seconds(utc_timestamp(F.col("ingest_time"))), 3600)).filter("_hour is not null")
+        counts = column_profile.value_counts(rows, {"symbol": F.col("symbol"), "load_epoch": F.col("_hour")}, columns)
+        part = column_profile.named(build(counts), columns).withColumn("table_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def profiles(counts: DataFrame) -> DataFrame:
+    return column_profile.profile(counts, ["symbol", "load_epoch"])
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of each column and load."""
-    return column_profile.profile(load_counts(spark, d), ["table_name", "symbol", "load_epoch"])
+    return each_load(spark, d, profiles)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Loads that stand out, by column."""
-    found = column_profile.findings(p5_profile(spark, d), ["table_name", "symbol"], "load_epoch", 3600)
+    found = each_load(spark, d, lambda counts: column_profile.findings(profiles(counts), ["symbol"], "load_epoch", 3600))
     return found.select("table_name", "column_name", "symbol", "load_epoch", "finding")
 
 
 def p5_drift(spark: SparkSession, d: str) -> DataFrame:
     """Population stability index and chi-square of each load against the hour before."""
-    return column_profile.drift(load_counts(spark, d), ["table_name", "symbol"], "load_epoch", 3600)
+    return each_load(spark, d, lambda counts: column_profile.drift(counts, ["symbol"], "load_epoch", 3600))
 
 
 def order_changes(spark: SparkSession, d: str) -> DataFrame:
