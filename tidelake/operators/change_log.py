@@ -49,25 +49,30 @@ class ChangeLog:
         self.spark, self.path, self.key, self.sequence, self.kind, self.payload = spark, path.rstrip("/"), key, sequence, kind, payload
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._schema = None
 
     def append(self, changes: DataFrame, name: str, split_by: Column | None = None) -> None:
         """Writes a run, or with split_by (the log segment a change came from) one sorted run a segment, in one job."""
         seg = F.lit("0") if split_by is None else F.coalesce(split_by.cast("string"), F.lit("none"))
         rows = summarise(changes, self.key, self.sequence, self.kind, self.payload, seg)
-        rows.sortWithinPartitions("_run", *self.key).write.mode("overwrite").partitionBy("_run").parquet(f"{self.path}/{name}")
+        self._schema = rows.drop("_run").schema
+        rows.sortWithinPartitions("_run", *self.key).write.mode("overwrite").partitionBy("_run").parquet(self._folder(name))
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/_name={name}"
 
     def runs(self) -> list[str]:
         """Names of finished runs."""
         root = self._path(self.path)
         if not self._fs.exists(root):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if self._fs.exists(self._path(s.getPath(), "_SUCCESS")))
+        return sorted(s.getPath().getName().removeprefix("_name=") for s in self._fs.listStatus(root) if self._fs.exists(self._path(s.getPath(), "_SUCCESS")))
 
     def merged(self) -> DataFrame | None:
-        names = self.runs()
-        if not names:
-            return None
-        return merge(self.spark.read.option("mergeSchema", "false").parquet(*[f"{self.path}/{n}" for n in names]), self.key)
+        full = [self._folder(n) for n in self.runs() if len(self._fs.listStatus(self._path(self._folder(n)))) > 1]  # a run without changes has its mark only
+        if not full:
+            return self.spark.createDataFrame([], self._schema) if self._schema else None
+        return merge(self.spark.read.option("basePath", self.path).parquet(*full), self.key)
 
     def read(self) -> DataFrame | None:
         """The current table, merged on read; None before the first run."""
@@ -79,7 +84,7 @@ class ChangeLog:
         old, merged = self.runs(), self.merged()
         if merged is None:
             return
-        merged.withColumn("_run", F.lit("0")).sortWithinPartitions(*self.key).write.mode("overwrite").partitionBy("_run").parquet(f"{self.path}/{name}")
+        merged.withColumn("_run", F.lit("0")).sortWithinPartitions(*self.key).write.mode("overwrite").partitionBy("_run").parquet(self._folder(name))
         for n in old:
             if n != name:
-                self._fs.delete(self._path(f"{self.path}/{n}"), True)
+                self._fs.delete(self._path(self._folder(n)), True)
