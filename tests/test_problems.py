@@ -341,3 +341,11 @@ def test_runs_in_any_order_repeated_and_compacted(spark, tmp_path):
     late = [("o3", at(0), 1, 0, "insert", "NEW"), ("new", at(1), 2, 1, "update", "PART")]
     log.append(feed(spark, late), "run-late")
     assert now() == state_by_hand(rows + late)
+
+
+def test_json_fields_take_whole_objects_only(spark):
+    from tidelake.functions.parsing import json_fields
+
+    texts = ['{"a": 1, "b": {"c": [2]}} ', '{"a": "x"', '{"a": 1} tail', "[1]", "7", "", None, '{"a": null}', '{"a": 1, "a": 2}']
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(json_fields(F.col("t"), ["a", "b"]).alias("r")).collect()
+    assert [r["r"] and (r["r"]["a"], r["r"]["b"]) for r in out] == [("1", '{"c":[2]}'), None, None, None, None, None, None, (None, None), ("2", None)]

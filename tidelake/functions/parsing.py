@@ -57,6 +57,15 @@ def status_rank(status: Column) -> Column:
     return out
 
 
+def json_fields(text: Column, names: list[str]) -> Column:
+    """A struct of the named top-level fields of a JSON object as texts (nested values as JSON); null unless the whole text is one object.
+
+    Of a name that stands twice the last counts."""
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_corrupt"])
+    read = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.when(F.rtrim(text).endswith("}") & read["_corrupt"].isNull(), read)
+
+
 def interval_seconds(text: Column) -> Column:
     """Seconds of a bar interval such as 1m, 15m, 1h or 1d; null for anything else."""
     text = F.lower(F.trim(text))

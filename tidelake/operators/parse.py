@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.parsing import symbol_key, utc_timestamp
+from tidelake.functions.parsing import json_fields, symbol_key, utc_timestamp
 
 
 def envelope(stream: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _source(raw: DataFrame) -> list[Column]:
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.trim(F.try_variant_get("_v", f"$.{name}", "string")), F.lit(""))
+    return F.nullif(F.trim(F.col(f"_v.{name}")), F.lit(""))
 
 
 def _bool(text: Column) -> Column:
@@ -31,7 +31,7 @@ def _bool(text: Column) -> Column:
 
 def trades(raw: DataFrame) -> DataFrame:
     """processed_trades rows of raw_trades. The symbol is the payload's, else the message key, in upper case."""
-    rows = raw.withColumn("_v", F.try_parse_json("message_value"))
+    rows = raw.withColumn("_v", json_fields(F.col("message_value"), ["trade_id", "symbol", "price", "qty", "quote_qty", "time", "is_buyer_maker", "is_best_match"]))
     return rows.select(
         _field("trade_id").try_cast("bigint").alias("trade_id"), F.coalesce(symbol_key(_field("symbol")), symbol_key(F.col("message_key"))).alias("symbol"),
         *[_field(c).try_cast("decimal(20,8)").alias(c) for c in ("price", "qty", "quote_qty")],
@@ -42,12 +42,12 @@ def trades(raw: DataFrame) -> DataFrame:
 
 def orders(raw: DataFrame) -> DataFrame:
     """staging_orders rows of raw_orders; simulated_parameters stays JSON text."""
-    rows = raw.withColumn("_v", F.try_parse_json("message_value"))
+    rows = raw.withColumn("_v", json_fields(F.col("message_value"), ["order_id", "client_id", "symbol", "side", "order_type", "order_price", "order_qty", "filled_qty", "avg_fill_price", "event_type", "order_status", "event_time", "simulated_parameters"]))
     return rows.select(
         *[_field(c).alias(c) for c in ("order_id", "client_id", "symbol", "side", "order_type")],
         *[_field(c).try_cast("decimal(20,8)").alias(c) for c in ("order_price", "order_qty", "filled_qty", "avg_fill_price")],
         *[_field(c).alias(c) for c in ("event_type", "order_status")],
-        F.timestamp_millis(_field("event_time").try_cast("bigint")).alias("event_time"), F.get_json_object("message_value", "$.simulated_parameters").alias("simulated_parameters"),
+        F.timestamp_millis(_field("event_time").try_cast("bigint")).alias("event_time"), F.col("_v.simulated_parameters").alias("simulated_parameters"),
         *_source(raw), utc_timestamp(F.col("ingest_time")).alias("updated_at"),
     ).filter("order_id is not null and order_status is not null and event_time is not null")
 

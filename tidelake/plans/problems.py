@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.functions.parsing import floor_to, interval_seconds, order_status, status_rank, symbol_key, utc_timestamp
+from tidelake.functions.parsing import floor_to, interval_seconds, json_fields, order_status, status_rank, symbol_key, utc_timestamp
 from tidelake.operators import change_log, column_profile, late_periods, quotient_dedup, regular_grid, schema_lifespan
 from tidelake.session import scratch, table
 
@@ -41,9 +41,9 @@ def p1_closings(spark: SparkSession, d: str) -> DataFrame:
 def raw_trade_ids(spark: SparkSession, d: str) -> DataFrame:
     """raw_trades with symbol and trade_id read from the payload; both null in a message that is no JSON object."""
     raw = table(spark, d, "raw_trades")
-    value = raw.withColumn("_value", F.try_parse_json("message_value"))
-    symbol = F.coalesce(symbol_key(F.try_variant_get("_value", "$.symbol", "string")), symbol_key(F.col("message_key")))
-    trade_id = F.trim(F.try_variant_get("_value", "$.trade_id", "string")).try_cast("bigint")
+    value = raw.withColumn("_value", json_fields(F.col("message_value"), ["symbol", "trade_id"]))
+    symbol = F.coalesce(symbol_key(F.col("_value.symbol")), symbol_key(F.col("message_key")))
+    trade_id = F.trim("_value.trade_id").try_cast("bigint")
     return value.withColumns({"_symbol": symbol, "_trade_id": trade_id}).drop("_value")
 
 
