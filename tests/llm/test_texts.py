@@ -132,7 +132,7 @@ CASES = [
     ("The witness Betula Hondwyn (national number\nQQ639505A) confirmed it.", ["NAME Betula Hondwyn", "ID_NUMBER QQ639505A"]),
     ("Mrs\nHondwyn lived at Flat 9, 68 Alderfield Terrace,\nLimhaven ZZ6 5QQ until the sale. Hondwyn Shipping Ltd appeared.", ["NAME Hondwyn", "ADDRESS Flat 9, 68 Alderfield Terrace,\nLimhaven"]),
     ("Dr Hinova could be reached only on 01632-960-722 or at k_n+x@mill.office.test. It cost 1,078,782 crowns on 04.12.2003.", ["NAME Hinova", "PHONE 01632-960-722", "EMAIL k_n+x@mill.office.test"]),
-    ("Enquiries may be sent to <a @ b-c.example>. tel. +44 ** **** **10, e-mail ****@****. 99 units @ 89 per unit.", ["EMAIL a @ b-c.example"]),
+    ("Enquiries may be sent to <a @ b-c.example>. tel. +44 ** **** **10, e-mail ****@****. 99 units @ 89 per unit. See k.x [at] b-c [dot]\nexample [dot] org or k+x (at)\nm.test or k @\nn.test.", ["EMAIL a @ b-c.example", "EMAIL k.x [at] b-c [dot]\nexample [dot] org", "EMAIL k+x (at)\nm.test", "EMAIL k @\nn.test"]),
     ("The meter read 568-67/4871 units. EUR 5 was credited to ledger 11 222 333. File transferred under number 123456789.", []),
     ("In der Akte steht van Sörd, Igor, Ausweis 00 753 364 428. Herr Kondsk wohnte bis zum Verkauf Quillwellweg 139, Quillhaven.", ["NAME van Sörd, Igor", "ID_NUMBER 00 753 364 428", "NAME Kondsk", "ADDRESS Quillwellweg 139, Quillhaven"]),
     ("Der Anruf von (0221) 4710 714 wurde angenommen. Die Kündigung ging an Irene Zyl-Mén, Am Ferrymere 13, 00013 Limwick, und kam zurück.", ["PHONE (0221) 4710 714", "NAME Irene Zyl-Mén", "ADDRESS Am Ferrymere 13, 00013 Limwick"]),
