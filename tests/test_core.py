@@ -263,3 +263,33 @@ def test_order_log_and_sql(spark, tmp_path):
     assert done == [1] and got(runs.read(), "task_name", "status") == [("market_hourly_summary", "FAILED"), ("processed_trades", "SUCCESS")]
     pipeline.run_sql(spark, "create temp view one as select ';' as x; -- a ; comment\ncreate temp view two as select * from one;")
     assert spark.table("two").first()["x"] == ";"
+
+
+def test_period_stream_closes_diverts_and_replays(spark, tmp_path):
+    from tidelake.operators.late_periods import Periods
+    from tidelake.streaming.late_periods import PeriodStream
+
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    at = lambda s: dt.datetime.fromtimestamp(base + s, dt.timezone.utc)
+    batches = [
+        [("x", at(10), at(20), "a", 1.0), ("x", at(30), at(25), "b", 2.0), ("y", at(70), at(80), "a", 1.0), ("x", None, at(81), "a", 1.0)],
+        [("x", at(50), at(121), "b", 4.0), ("x", at(5), at(300), "a", 9.0)],  # the second: its own source is past the bound
+        [("x", at(110), at(301), "b", 1.0), ("y", at(119), at(119), "c", 1.0)],  # c is behind, and idle
+        [("x", at(15), at(118), "b", 8.0), ("z", at(400), at(900), "a", 1.0)],  # arrives in bound, but the period is closed
+    ]
+    p = PeriodStream(spark, f"file://{tmp_path}/s", Periods(60, 120, 180), key="k", event_time="t", arrival="a", source="s", value="v")
+    frames = [spark.createDataFrame(b, "k string, t timestamp, a timestamp, s string, v double") for b in batches]
+    for n, f in enumerate(frames):
+        f.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        p.batch(f, f"b/{n}")
+        p.batch(f, f"b/{n}")  # replayed
+        if n == 1:
+            assert p.final.read().count() == 0  # b has not passed the first minute yet
+    out = got(p.final.read(), "item", "n", "total", "period_epoch")
+    assert [(i, n, t, e - base) for i, n, t, e in out] == [("x", 3, 7.0, 0), ("y", 2, 2.0, 60)]
+    assert got(p.diverted.read(), "item", "reason") == [("x", "passed by its source"), ("x", "passed by its source"), ("x", "period closed"), ("z", "passed by its source")]
+    again = PeriodStream(spark, f"file://{tmp_path}/s2", Periods(60, 120, 180), key="k", event_time="t", arrival="a", source="s", value="v")
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    again.start(stream, str(tmp_path / "c")).awaitTermination()
+    total = again.final.read().agg(F.sum("n").alias("n")).first()["n"] + again.diverted.read().count()
+    assert total >= 6
