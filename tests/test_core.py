@@ -293,3 +293,14 @@ def test_period_stream_closes_diverts_and_replays(spark, tmp_path):
     again.start(stream, str(tmp_path / "c")).awaitTermination()
     total = again.final.read().agg(F.sum("n").alias("n")).first()["n"] + again.diverted.read().count()
     assert total >= 6
+
+
+def test_scratch_is_in_the_shared_folder_and_cleared(spark, tmp_path):
+    from tidelake import session
+
+    path = session.scratch(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder. What is written there serves one result; ``clear_scratch`` removes it."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes what this process wrote under scratch paths: call it once results are safe. Gives the number of paths."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+@atexit.register
+def _forget_local() -> None:
+    for path in _made:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
