@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session: executors need not have it, nor its folder as theirs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidelake-code-")) / f"tidelake-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._tidelake_shipped = True
+
+
 _made: list[str] = []
 
 
