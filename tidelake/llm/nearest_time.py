@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.session import ship
+
 US = 1_000_000
 NONE = np.zeros(0, dtype=np.int64)
 
@@ -134,6 +136,7 @@ def nearest(left: DataFrame, right: DataFrame, *, left_entity: list[Column], lef
     """e0.. (the entity, as text), id, key, distance_us: each left row that has a right record within tolerance.
 
     tolerance_us must depend on the entity columns only; both sides evaluate it. One shuffle, on entity and block."""
+    ship(left.sparkSession)
     names = [f"e{i}" for i in range(len(left_entity))]
     rows = _sides(left, right, [c.cast("string") for c in left_entity], left_time, left_id, [c.cast("string") for c in right_entity], right_time, right_key, tolerance_us, block_s)
     sorted_rows = rows.repartition(*names, "block").sortWithinPartitions(*names, "block", "t")
@@ -145,6 +148,7 @@ def nearest_stream(left: DataFrame, right: DataFrame, *, left_entity: Column, le
 
     ``delay`` is how late a record may come (Spark's watermark). A left record is emitted in the first trigger after
     the watermark passed its horizon; with no match it is dropped."""
+    ship(left.sparkSession)
     tolerance = int(tolerance_s * US)
     block = lambda t: F.floor(t / (block_s * US)).cast("bigint")
     lrows = left.select(left_entity.cast("string").alias("entity"), F.col(left_time).alias("at"), left_id.cast("string").alias("id"), F.lit(None).cast("bigint").alias("key"))

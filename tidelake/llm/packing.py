@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelake.session import ship
+
 #: Where the public tokenizers' files lie unless the caller says otherwise.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
@@ -71,6 +73,7 @@ def token_lengths(texts: DataFrame, key: str, text: str, tokenizer: str = TOKENI
             lengths = pa.array((count(t) for t in b.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), lengths], ["key", "tokens"])
 
+    ship(texts.sparkSession)
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"\S"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, tokens bigint")
@@ -134,6 +137,7 @@ def pack(spark: SparkSession, lengths: DataFrame, scratch: str, capacity: int =
     ``lengths`` has key and tokens; rows of no tokens are no items. It is written once under ``scratch`` (the shared
     folder), so that ranks are taken from one and the same table however often tasks are run again. shards: tasks that
     share the ranking of one length."""
+    ship(spark)
     lengths.filter("tokens > 0").write.mode("overwrite").parquet(scratch)
     kept = spark.read.parquet(scratch)
     shards = shards or max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
