@@ -304,3 +304,37 @@ def test_scratch_is_in_the_shared_folder_and_cleared(spark, tmp_path):
     assert session.clear_scratch(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_weighted_draws(spark):
+    from tidelake.operators.sample import weighted_draws
+
+    items = spark.createDataFrame([("big", 1000.0), ("small", 1.0), ("mid", 250.0), ("none", 0.0), ("null", None), ("neg", -5.0)], "k string, w double")
+    out = weighted_draws(items, "k", "w", 4000, seed=7)
+    counts = {r["key"]: r["count"] for r in out.groupBy("key").count().collect()}
+    assert abs(counts["big"] / 4000 - 1000 / 1251) < 0.03 and abs(counts["mid"] / 4000 - 250 / 1251) < 0.03
+    assert set(counts) <= {"big", "small", "mid"} and sum(counts.values()) >= 3999
+    again = weighted_draws(items.repartition(3), "k", "w", 4000, seed=7)
+    assert got(out, "draw", "key") == got(again, "draw", "key") and got(out, "key") != got(weighted_draws(items, "k", "w", 4000, seed=8), "key")
+    assert weighted_draws(items.filter("w <= 0"), "k", "w", 10, seed=1).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    from tidelake.sources import writers
+
+    df = spark.createDataFrame([("b", 2, "2024-01-01"), ("a|x", None, "2024-01-02")], "k string, v int, ingest_date string")
+    assert got(writers.as_messages(df, F.col("k"), ["k", "v"]), "key", "value") == [("a|x", '{"k":"a|x"}'), ("b", '{"k":"b","v":2}')]
+    writers.one_csv(df, str(tmp_path / "csv"), ["k"])
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 1
+    with pytest.raises(ValueError):
+        writers.one_csv(df, str(tmp_path / "csv2"), ["k"], most_rows=1)
+    writers.append_log(df, str(tmp_path / "log"))
+    writers.external_table(spark, "log_table", "k string, v int", str(tmp_path / "log"), "ingest_date")
+    assert spark.table("log_table").filter("ingest_date = '2024-01-01'").first()["k"] == "b"
+    spark.sql("drop table log_table")
+    writers.register({"some_rows": df})
+    assert spark.table("some_rows").count() == 2
+    assert "| a\\|x |  |" in writers.markdown(df)
+    hours = spark.createDataFrame([("x", ts("2024-01-01 00:00")), ("x", ts("2024-01-01 03:00"))], "s string, h timestamp")
+    report = writers.gap_report(gaps.coverage(hours, "s", "h"), gaps.missing_hours(hours, "s", "h"), str(tmp_path / "g.json"))
+    assert report == {"gap_count": 2, "symbols_with_gaps": 1, "earliest_gap": "2024-01-01 01:00:00", "by_symbol": {"x": 2}}

@@ -38,7 +38,7 @@ ORACLES = {
   ok as (select message_key k, cast(message_value as json) j from raw_trades where json_valid(message_value)),
   raw as (select 'raw_trades' table_name, coalesce(nullif(upper(trim(j->>'symbol')), ''), nullif(upper(trim(k)), '')) symbol, try_cast(trim(j->>'trade_id') as bigint) trade_id from ok where json_type(j) = 'OBJECT')
   select table_name, symbol, trade_id from (select * from typed union all select * from raw where trade_id is not null) group by 1, 2, 3 having count(*) > 1""",
-    "p2_trades_once": f"""select * exclude (rn) from (select *, row_number() over (partition by symbol, trade_id order by {_ingest()} nulls first, source_partition nulls first, source_offset nulls first, trade_time nulls first, price nulls first, qty nulls first, quote_qty nulls first, is_buyer_maker nulls first, is_best_match nulls first) rn from processed_trades) where rn = 1""",
+    "p2_trades_once": f"""select * exclude (rn, price, qty, quote_qty, trade_time), cast(price as double) price, cast(qty as double) qty, cast(quote_qty as double) quote_qty, epoch_us(trade_time) trade_us from (select *, row_number() over (partition by symbol, trade_id order by {_ingest()} nulls first, source_partition nulls first, source_offset nulls first, trade_time nulls first, price nulls first, qty nulls first, quote_qty nulls first, is_buyer_maker nulls first, is_best_match nulls first) rn from processed_trades) where rn = 1""",
     "p4_found": """with series as (select distinct symbol, "interval" kline_interval, w, cast(floor(epoch_us(open_time) / 1e6 / w) as bigint) * w slot
     from (select *, cast(regexp_extract("interval", '^[0-9]+') as bigint) * case right("interval", 1) when 'm' then 60 when 'h' then 3600 when 'd' then 86400 when 's' then 1 end w from processed_klines where symbol is not null and open_time is not null and "interval" is not null)),
   gaps as (select *, lead(slot) over (partition by symbol, kline_interval order by slot) nxt from series)

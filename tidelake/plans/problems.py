@@ -62,9 +62,10 @@ def p2_raw_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_trades_once(spark: SparkSession, d: str) -> DataFrame:
-    """processed_trades with one copy of each trade, the first by arrival."""
+    """processed_trades with one copy of each trade, the first by arrival. The trade's time is in microseconds, its numbers are doubles."""
     rows = table(spark, d, "processed_trades")
-    return quotient_dedup.keep_first(rows, F.col("symbol"), F.col("trade_id"), [utc_timestamp(F.col("ingest_time")), *[F.col(c) for c in ("source_partition", "source_offset", "trade_time", "price", "qty", "quote_qty", "is_buyer_maker", "is_best_match")]])
+    kept = quotient_dedup.keep_first(rows, F.col("symbol"), F.col("trade_id"), [utc_timestamp(F.col("ingest_time")), *[F.col(c) for c in ("source_partition", "source_offset", "trade_time", "price", "qty", "quote_qty", "is_buyer_maker", "is_best_match")]])
+    return kept.withColumns({c: F.col(c).cast("double") for c in ("price", "qty", "quote_qty")}).withColumn("trade_us", F.unix_micros(F.col("trade_time").cast("timestamp"))).drop("trade_time")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
