@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from tidelake.functions.parsing import floor_div
 
 
+def in_blocks(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
+    """Adds ``_block`` and partitions on it and the keys: later grouping by these and more, and neighbour(), shuffle no more."""
+    return df.withColumn("_block", floor_div(F.col(order), block)).repartition(*keys, "_block")
+
+
 def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], block: int, name: str, ahead: bool = False) -> DataFrame:
     """Adds ``name``: a struct of order and values of the previous (or, if ahead, next) row of the series, null at its end.
 
     Order must be a bigint without nulls or ties inside a series, keys without nulls (rows with a null key have no
     neighbours). ``block`` is a length in units of order; it changes the speed only, not the result. An empty input
-    gives an empty result."""
+    gives an empty result. A df that has been partitioned on keys and ``_block`` already (see ``in_blocks``) is not
+    shuffled again."""
     item = F.struct(order, *values)
-    base = df.withColumn("_block", floor_div(F.col(order), block))
+    base = df if "_block" in df.columns else df.withColumn("_block", floor_div(F.col(order), block))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     near = (F.lead if ahead else F.lag)(item).over(inside)
     edge = (F.min_by if ahead else F.max_by)(item, F.col(order)).alias("_edge")

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators.blocked import neighbour
+from tidelake.operators.blocked import in_blocks, neighbour
 
 #: Names under which bar messages carry one quantity, the table's own name first.
 BAR_ALIASES = {
@@ -46,15 +46,16 @@ def quantity(name: Column, aliases: Mapping[str, list[str]]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), name), F.array_join(F.array_sort(words), "_"))
 
 
-def footers(messages: DataFrame, producer: list[str], offset: str, payload: str) -> DataFrame:
-    """One row a message that is a JSON object: producer columns, offset, value (variant) and its shape as text.
+def footers(messages: DataFrame, producer: list[str], offset: str, payload: str, block: int = BLOCK) -> DataFrame:
+    """One row a message that is a JSON object: producer columns, offset, block, text and its shape as text.
 
-    Copies at one offset are one message. Rows with a null producer column, offset or payload are none."""
+    Copies at one offset are one message. Rows with a null producer column, offset or payload are none. The texts are
+    shuffled once, into blocks; removing copies and finding neighbours happen within these."""
     rows = messages.select(*producer, F.col(offset).alias("_offset"), F.col(payload).alias("_text")).dropna()
-    rows = rows.groupBy(*producer, "_offset").agg(F.min("_text").alias("_text"))
+    rows = in_blocks(rows, producer, "_offset", block).groupBy(*producer, "_block", "_offset").agg(F.min("_text").alias("_text"))
     rows = rows.withColumn("_value", F.try_parse_json("_text")).filter("schema_of_variant(_value) like 'OBJECT%'")
     number = r"\b(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))"
-    return rows.select(*producer, "_offset", "_text", F.regexp_replace(F.schema_of_variant("_value"), number, "NUMBER").alias("_shape"))
+    return rows.select(*producer, "_block", "_offset", "_text", F.regexp_replace(F.schema_of_variant("_value"), number, "NUMBER").alias("_shape"))
 
 
 def _fields(rows: DataFrame, keep: list[Column]) -> DataFrame:
@@ -75,8 +76,7 @@ def _fields(rows: DataFrame, keep: list[Column]) -> DataFrame:
 
 def runs(messages: DataFrame, producer: list[str], offset: str, payload: str, block: int = BLOCK) -> DataFrame:
     """Messages that start a run of one shape: producer, _offset, _text, _run_before and _run_after (offsets of the runs beside it)."""
-    feet = footers(messages, producer, offset, payload)
-    # the text itself is the value carried over, so that a run's last message needs no second pass
+    feet = footers(messages, producer, offset, payload, block)
     near = neighbour(feet, producer, "_offset", ["_shape"], block, "_prev")
     starts = near.filter("_prev is null or _prev._shape <> _shape").select(*producer, "_offset", "_text")
     along = Window.partitionBy(*producer).orderBy("_offset")
