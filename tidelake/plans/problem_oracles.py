@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidelake.operators.schema_lifespan import BAR_ALIASES
+
 
 def _ingest(column: str = "ingest_time") -> str:
     return f"(case when regexp_matches(trim({column}), '([zZ]|[+-][0-9]{{2}}:[0-9]{{2}})$') then try_cast(trim({column}) as timestamptz) else try_cast(trim({column}) || 'Z' as timestamptz) end)"
@@ -29,6 +31,43 @@ feed as (select order_id, event_time, source_offset, case when s in ('NEW', 'PAR
 ranked as (select order_id, epoch_ms(event_time) event_ms, st, row_number() over (partition by order_id order by event_time, case st when 'NEW' then 1 when 'PARTIALLY_FILLED' then 2 when 'DELETED' then 4 else 3 end, source_offset nulls first, st) rn
   from feed where order_id is not null and event_time is not null and st is not null)"""
 
+_STATUS_ALL = (
+    _STATUS.replace("select order_id, event_time, source_offset, regexp", "select *, regexp")
+    .replace("select order_id, event_time, source_offset, case", "select *, case")
+    .replace("select order_id, epoch_ms(event_time) event_ms, st,", "select *, epoch_ms(event_time) event_ms,")
+)
+
+_ALIASES = ", ".join(f"('{alias}', '{own}')" for own, others in BAR_ALIASES.items() for alias in [own, *others])
+
+#: Messages of raw_klines one by one, their fields with types, and where each field stood before and stands next.
+_FIELDS = f"""
+alias(name, quantity) as (values {_ALIASES}),
+msg as (select kafka_partition p, kafka_offset o, cast(min(message_value) as json) j from raw_klines where json_valid(message_value) and json_type(message_value) = 'OBJECT' and kafka_partition is not null and kafka_offset is not null group by 1, 2),
+line as (select *, lag(o) over (partition by p order by o) before, lead(o) over (partition by p order by o) after from msg),
+each as (select p, o, before, after, j, unnest(json_keys(j)) k from line),
+typed as (select p, o, before, after, k, case json_type(j, '$."' || k || '"') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end t from each),
+span as (select *, lag(o) over (partition by p, k order by o) was, lead(o) over (partition by p, k order by o) next, last_value(t ignore nulls) over (partition by p, k order by o rows between unbounded preceding and 1 preceding) known from typed),
+event as (
+  select p, o, k, 'added' kind from span where before is not null and was is distinct from before
+  union all select p, after, k, 'removed' from span where after is not null and next is distinct from after
+  union all select p, o, k, 'retyped' from span where before is not null and was = before and t is not null and known is not null and t <> known),
+numbered as (select e.*, coalesce(a.quantity, e.k) quantity, row_number() over (partition by p, o, coalesce(a.quantity, e.k), kind order by k) nth from event e left join alias a on a.name = e.k),
+paired as (select *, kind <> 'retyped' and count(*) filter (kind <> 'retyped') over (partition by p, o, quantity, nth) = 2 moved from numbered)"""
+
+
+
+def _read(column: str) -> str:
+    names = ", ".join(f"""j->>'$."{n}"'""" for n in [column, *BAR_ALIASES.get(column, [])])
+    return f"nullif(trim(coalesce({names}, null)), '')"
+
+
+_DECIMALS = ", ".join(f'cast(try_cast({_read(c)} as decimal({p},8)) as double) "{c}"' for c, p in (("open", 20), ("high", 20), ("low", 20), ("close", 20), ("volume", 20), ("quote_volume", 24)))
+_BAR_VALUES = f"""select coalesce(nullif(upper(trim({_read('symbol')})), ''), nullif(upper(trim(split_part(message_key, '_', 1))), '')) symbol,
+  coalesce({_read('interval')}, case when contains(message_key, '_') then split_part(message_key, '_', -1) end) kline_interval,
+  try_cast({_read('open_time')} as bigint) open_time, try_cast({_read('close_time')} as bigint) close_time, {_DECIMALS}, try_cast({_read('number_of_trades')} as bigint) number_of_trades,
+  case lower({_read('is_closed')}) when 'true' then true when 'false' then false end is_closed, kafka_topic source_topic, kafka_partition source_partition, kafka_offset source_offset, ingest_time
+  from (select *, case when json_valid(message_value) then cast(message_value as json) end j from raw_klines)"""
+
 ORACLES = {
     "p1_found": f"""with {COUNTED}, counted as (select symbol, hour_epoch, count(*) n from placed where a <= (hour_epoch + 25200) * 1000000 group by 1, 2),
   published as (select symbol, cast(epoch(summary_hour) as bigint) hour_epoch, arg_max(coalesce(trade_count, 0), updated_at) n from market_hourly_summary group by 1, 2)
@@ -39,6 +78,12 @@ ORACLES = {
   raw as (select 'raw_trades' table_name, coalesce(nullif(upper(trim(j->>'symbol')), ''), nullif(upper(trim(k)), '')) symbol, try_cast(trim(j->>'trade_id') as bigint) trade_id from ok where json_type(j) = 'OBJECT')
   select table_name, symbol, trade_id from (select * from typed union all select * from raw where trade_id is not null) group by 1, 2, 3 having count(*) > 1""",
     "p2_trades_once": f"""select * exclude (rn, price, qty, quote_qty, trade_time), cast(price as double) price, cast(qty as double) qty, cast(quote_qty as double) quote_qty, epoch_us(trade_time) trade_us from (select *, row_number() over (partition by symbol, trade_id order by {_ingest()} nulls first, source_partition nulls first, source_offset nulls first, trade_time nulls first, price nulls first, qty nulls first, quote_qty nulls first, is_buyer_maker nulls first, is_best_match nulls first) rn from processed_trades) where rn = 1""",
+    "p3_found": f"""with {_FIELDS} select p kafka_partition, o kafka_offset, k field_name, case when moved then 'renamed' else kind end change_kind from paired where not (moved and kind = 'added')""",
+    "p3_bars_values": _BAR_VALUES,
+    "p2_raw_once": f"""with rows_ as (select *, case when json_valid(message_value) then cast(message_value as json) end j from raw_trades),
+  ided as (select *, case when json_type(j) = 'OBJECT' then try_cast(trim(j->>'trade_id') as bigint) end tid, coalesce(case when json_type(j) = 'OBJECT' then nullif(upper(trim(j->>'symbol')), '') end, nullif(upper(trim(message_key)), '')) sym from rows_),
+  ranked as (select *, row_number() over (partition by sym, tid order by {_ingest()} nulls first, kafka_partition nulls first, kafka_offset nulls first, encode(message_value) nulls first, encode(message_key) nulls first, kafka_timestamp nulls first, encode(ingest_time) nulls first) rn from ided)
+  select kafka_topic, kafka_partition, kafka_offset, kafka_timestamp, message_key, message_value, ingest_time, ingest_date from ranked where rn = 1 or tid is null""",
     "p4_found": """with series as (select distinct symbol, "interval" kline_interval, w, cast(floor(epoch_us(open_time) / 1e6 / w) as bigint) * w slot
     from (select *, cast(regexp_extract("interval", '^[0-9]+') as bigint) * case right("interval", 1) when 'm' then 60 when 'h' then 3600 when 'd' then 86400 when 's' then 1 end w from processed_klines where symbol is not null and open_time is not null and "interval" is not null)),
   gaps as (select *, lead(slot) over (partition by symbol, kline_interval order by slot) nxt from series)
@@ -50,6 +95,9 @@ ORACLES = {
   union all select b.table_name, b.column_name, b.symbol, b.load_epoch, 'median_shift' from big b join big p on b.table_name = p.table_name and b.column_name = p.column_name and b.symbol = p.symbol and p.load_epoch + 3600 = b.load_epoch
     where b.vals >= 20 and p.vals >= 20 and b.median > 0 and p.median > 0 and greatest(b.median, p.median) > 5 * least(b.median, p.median)""",
     "p5_profile_counts": f"""with {_LOADS} select table_name, column_name, symbol, load_epoch, n_rows, nulls, nonpositive, n_distinct, n_top, round(median, 6) median from loads""",
+    "p6_orders_values": f"""with {_STATUS_ALL}, state as (select order_id, max(rn) last_rn, coalesce(max(rn) filter (st = 'NEW'), 0) born, coalesce(max(rn) filter (st = 'DELETED'), 0) dead from ranked group by 1)
+  select r.order_id, r.st order_status, r.event_ms, client_id, symbol, side, order_type, cast(order_price as double) order_price, cast(order_qty as double) order_qty, cast(filled_qty as double) filled_qty, cast(avg_fill_price as double) avg_fill_price, source_offset
+  from state s join ranked r on s.order_id = r.order_id and s.last_rn = r.rn where dead = 0 or born > dead""",
     "p6_found": f"""with {_STATUS}, state as (select order_id, max(rn) last_rn, coalesce(max(rn) filter (st = 'NEW'), 0) born, coalesce(max(rn) filter (st = 'DELETED'), 0) dead from ranked group by 1)
   select r.order_id, r.st order_status, r.event_ms from state s join ranked r on s.order_id = r.order_id and s.last_rn = r.rn where dead = 0 or born > dead""",
 }

@@ -57,7 +57,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_raw_once(spark: SparkSession, d: str) -> DataFrame:
     """raw_trades with one copy of each trade, the first by arrival; messages without identity stay."""
     rows = raw_trade_ids(spark, d)
-    order = [utc_timestamp(F.col("ingest_time")), F.col("kafka_partition"), F.col("kafka_offset")]
+    order = [utc_timestamp(F.col("ingest_time")), *[F.col(c) for c in ("kafka_partition", "kafka_offset", "message_value", "message_key", "kafka_timestamp", "ingest_time")]]
     return quotient_dedup.keep_first(rows, F.col("_symbol"), F.col("_trade_id"), order).drop("_symbol", "_trade_id")
 
 
@@ -94,6 +94,13 @@ def p3_bars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_bars_values(spark: SparkSession, d: str) -> DataFrame:
+    """p3_bars with times in milliseconds and numbers as doubles."""
+    bars = p3_bars(spark, d).withColumnsRenamed({"interval": "kline_interval"}).drop("updated_at")
+    times = {c: F.unix_millis(F.col(c)) for c in ("open_time", "close_time")}
+    return bars.withColumns(times | {c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume", "quote_volume")})
+
+
 #: A silence of more than a day ends a series of bars.
 SILENCE_S = 24 * 3600
 
@@ -178,5 +185,11 @@ def p5_profile_counts(spark: SparkSession, d: str) -> DataFrame:
     return p5_profile(spark, d).select("table_name", "column_name", "symbol", "load_epoch", F.col("rows").alias("n_rows"), "nulls", "nonpositive", F.col("distinct").alias("n_distinct"), F.col("top").alias("n_top"), F.round("median", 6).alias("median"))
 
 
+def p6_orders_values(spark: SparkSession, d: str) -> DataFrame:
+    """p6_orders with the time in milliseconds and numbers as doubles."""
+    numbers = {c: F.col(c).cast("double") for c in ("order_price", "order_qty", "filled_qty", "avg_fill_price")}
+    return p6_orders(spark, d).withColumns(numbers).withColumn("event_ms", F.unix_millis(F.col("event_time").cast("timestamp"))).drop("event_time", "ingest_time", "source_partition")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars, p4_found, p4_grid, p5_found, p5_profile, p5_profile_counts, p5_drift, p6_found, p6_orders)}
+    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars, p3_bars_values, p4_found, p4_grid, p5_found, p5_profile, p5_profile_counts, p5_drift, p6_found, p6_orders, p6_orders_values)}
