@@ -82,7 +82,7 @@ ORACLES = {
     "p3_bars_values": _BAR_VALUES,
     "p2_raw_once": f"""with rows_ as (select *, case when json_valid(message_value) then cast(message_value as json) end j from raw_trades),
   ided as (select *, case when json_type(j) = 'OBJECT' then try_cast(trim(j->>'trade_id') as bigint) end tid, coalesce(case when json_type(j) = 'OBJECT' then nullif(upper(trim(j->>'symbol')), '') end, nullif(upper(trim(message_key)), '')) sym from rows_),
-  ranked as (select *, row_number() over (partition by sym, tid order by {_ingest()} nulls first, kafka_partition nulls first, kafka_offset nulls first, encode(message_value) nulls first, encode(message_key) nulls first, kafka_timestamp nulls first, encode(ingest_time) nulls first) rn from ided)
+  ranked as (select *, row_number() over (partition by sym, tid order by {_ingest()} nulls first, kafka_partition nulls first, kafka_offset nulls first, md5(message_value) nulls first) rn from ided)
   select kafka_topic, kafka_partition, kafka_offset, kafka_timestamp, message_key, message_value, ingest_time, ingest_date from ranked where rn = 1 or tid is null""",
     "p4_found": """with series as (select distinct symbol, "interval" kline_interval, w, cast(floor(epoch_us(open_time) / 1e6 / w) as bigint) * w slot
     from (select *, cast(regexp_extract("interval", '^[0-9]+') as bigint) * case right("interval", 1) when 'm' then 60 when 'h' then 3600 when 'd' then 86400 when 's' then 1 end w from processed_klines where symbol is not null and open_time is not null and "interval" is not null)),

@@ -57,7 +57,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_raw_once(spark: SparkSession, d: str) -> DataFrame:
     """raw_trades with one copy of each trade, the first by arrival; messages without identity stay."""
     rows = raw_trade_ids(spark, d)
-    order = [utc_timestamp(F.col("ingest_time")), *[F.col(c) for c in ("kafka_partition", "kafka_offset", "message_value", "message_key", "kafka_timestamp", "ingest_time")]]
+    order = [utc_timestamp(F.col("ingest_time")), F.col("kafka_partition"), F.col("kafka_offset"), F.md5("message_value")]
     return quotient_dedup.keep_first(rows, F.col("_symbol"), F.col("_trade_id"), order).drop("_symbol", "_trade_id")
 
 
