@@ -38,6 +38,11 @@ def symbol_key(text: Column) -> Column:
     return F.nullif(F.upper(F.trim(text)), F.lit(""))
 
 
+def symbol_letters(text: Column) -> Column:
+    """The letters of a symbol in upper case, whatever stands between them; null without letters."""
+    return F.nullif(F.upper(F.regexp_replace(text, r"[^\p{L}]", "")), F.lit(""))
+
+
 def order_status(status: Column, event_type: Column) -> Column:
     """One of STATUS_RANK's names, from the status or else from the event type; null if neither tells."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.functions.parsing import symbol_key
+from tidelake.functions.parsing import symbol_letters
 from tidelake.llm import leaks, nearest_time, packing, personal
 from tidelake.session import scratch, table
 
@@ -16,9 +16,9 @@ TRADE_US, BAR_US = 2_000_000, 20_000_000
 def p7_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Each filled order with its nearest trade and bar within tolerance, and the distance."""
     orders = table(spark, d, "processed_orders").filter("filled_at is not null and order_id is not null")
-    fills = orders.groupBy("order_id").agg(F.max_by(F.struct("symbol", "filled_at"), F.struct("updated_at", "filled_at", "symbol")).alias("o")).select("order_id", symbol_key(F.col("o.symbol")).alias("symbol"), F.col("o.filled_at").alias("filled_at"), F.explode(F.array(F.lit("processed_trades"), F.lit("processed_klines"))).alias("side"))
-    trades = table(spark, d, "processed_trades").select(F.lit("processed_trades").alias("side"), symbol_key(F.col("symbol")).alias("symbol"), F.col("trade_time").alias("at"), F.col("trade_id").alias("key"))
-    bars = table(spark, d, "processed_klines").filter("interval = '1m'").select(F.lit("processed_klines").alias("side"), symbol_key(F.col("symbol")).alias("symbol"), F.col("open_time").alias("at"), F.unix_millis(F.col("open_time").cast("timestamp")).alias("key"))
+    fills = orders.groupBy("order_id").agg(F.max_by(F.struct("symbol", "filled_at"), F.struct("updated_at", "filled_at", "symbol")).alias("o")).select("order_id", symbol_letters(F.col("o.symbol")).alias("symbol"), F.col("o.filled_at").alias("filled_at"), F.explode(F.array(F.lit("processed_trades"), F.lit("processed_klines"))).alias("side"))
+    trades = table(spark, d, "processed_trades").select(F.lit("processed_trades").alias("side"), symbol_letters(F.col("symbol")).alias("symbol"), F.col("trade_time").alias("at"), F.col("trade_id").alias("key"))
+    bars = table(spark, d, "processed_klines").filter("interval = '1m'").select(F.lit("processed_klines").alias("side"), symbol_letters(F.col("symbol")).alias("symbol"), F.col("open_time").alias("at"), F.unix_millis(F.col("open_time").cast("timestamp")).alias("key"))
     near = nearest_time.nearest(
         fills, trades.unionByName(bars),
         left_entity=[F.col("side"), F.col("symbol")], left_time=F.col("filled_at"), left_id=F.col("order_id"),
