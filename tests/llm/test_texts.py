@@ -116,6 +116,20 @@ def test_leaks_through_damage(spark, tmp_path):
     assert leaks.find(spark, df.limit(5), "doc_id", "text", ev.limit(0), "item_id", "passage", f"file://{tmp_path}/i3").count() == 0
 
 
+@pytest.mark.parametrize("clean", [0, 1])
+def test_leaks_with_letters_changed_throughout(spark, tmp_path, clean):
+    rng = random.Random(5)
+    vocab = vocabulary(rng)
+    cases = [(n, every) for n in (100, 120, 140, 160, 600) for every in (6, 8, 10, 12, 16, 20)]
+    items = [rng.choices(vocab, k=n) for n, _ in cases]
+    around = lambda: " ".join(rng.choices(vocab, k=20))
+    docs = [(i, f"{around()} {' '.join(x if k % every else 'q' + x[1:] for k, x in enumerate(w))} {around()}") for i, (w, (_, every)) in enumerate(zip(items, cases, strict=True))]
+    docs += [(len(items) + i, " ".join(w)) for i, w in enumerate(items) if clean]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, passage string")
+    out = leaks.find(spark, df, "doc_id", "text", ev, "item_id", "passage", f"file://{tmp_path}/i")
+    assert {(r["key"], r["item"]) for r in out.collect()} == {(d, d % len(items)) for d, _ in docs}
+
+
 def test_words_of_pieces_are_words_of_the_text():
     rng = random.Random(2)
     for _ in range(300):

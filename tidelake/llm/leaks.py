@@ -1,12 +1,11 @@
-"""Evaluation passages inside corpus texts: a positional index of word sequences, intersected from the rarest.
+"""Evaluation passages inside corpus texts: a positional index of word sequences, intersected at their offsets.
 
 One scan of the corpus stores, per document, the postings of every word sequence (GRAM words) that any passage has:
 term numbers and word positions. Everything after it reads this index, not the texts. Document frequencies of the
-terms are counted from it. In every stretch of a passage that alone could make a case (PIECE of its words) the
-rarest terms are its anchors; a document is a candidate for an item if it holds one of the item's anchors. For
-candidates all postings of the item are intersected at their offsets: postings whose document and passage positions
-advance together form one piece, through changed letters (equal distances) and through page headers (a jump in the
-document only). A piece made of formulas alone (terms that many texts share) does not count. A case has one or two
+terms are counted from it. A document is a candidate for an item unless its postings cannot reach SHARE in any two
+pieces (an upper bound, nothing is lost by it). For candidates all postings of the item are intersected at their
+offsets: postings whose document and passage positions advance together form one piece, through changed letters
+(equal distances) and through page headers (a jump in the document only). A piece made of formulas alone (terms that many texts share) does not count. A case has one or two
 pieces, in the passage's order, that together hold SHARE of its words.
 
 The passages are a table of fixed, small size (checked against MOST_TERMS), so its term table goes to every task.
@@ -29,12 +28,14 @@ from tidelake.session import ship
 GRAM = 5
 #: Share of a passage's words that makes a case.
 SHARE = 0.4
-#: A case in two pieces has a piece of at least half of SHARE: each stretch of this share gets ANCHORS anchors.
-PIECE, ANCHORS = 0.2, 3
+#: Most words that one posting adds to a piece: its own, and those that one or two changed letters hide before it.
+REACH = 2 * GRAM + 2
 #: A term in more than this share of the texts, and in more than FORMULA_LEAST of them, is a formula.
 FORMULA, FORMULA_LEAST = 0.002, 5
 #: Words that a page header may put between two words of a piece; passage words that changed letters may hide.
 HEADER, HIDDEN = 24, 14
+#: Texts whose postings are looked at together.
+BLOCK = 100
 #: Size bounds of the passages and of their term table; beyond them the passages must be processed in blocks.
 MOST_CHARS, MOST_TERMS = 64_000_000, 4_000_000
 
@@ -115,16 +116,6 @@ class Terms:
         ok = self.grams[term] == gram
         return term[ok].astype(np.int32), place[ok].astype(np.int32)
 
-    def anchors(self, frequency: np.ndarray) -> np.ndarray:
-        """Marks the rarest terms of every stretch of PIECE of each item."""
-        out = np.zeros(len(self.grams), dtype=bool)
-        for terms, length in zip(self.of_item, self.lengths, strict=True):
-            span = max(1, int(PIECE * length) - GRAM + 1)
-            for s in range(max(1, len(terms) - span + 1)):
-                part = terms[s : s + span]
-                out[part[np.argsort(frequency[part], kind="stable")[:ANCHORS]]] = True
-        return out
-
 
 def build_index(texts: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
     """key, terms (array of int), positions (array of int): one row a text with any posting. Whole texts; null texts have none."""
@@ -166,7 +157,10 @@ def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
 
     Pieces without a rare posting are formulas and count nothing."""
     open_pieces: list[list[int]] = []  # first q, last q, last p, words, rare postings
+    pieces, here = [], -1
     for x, y, r in zip(p.tolist(), q.tolist(), rare.tolist(), strict=True):
+        if x != here:  # pieces that nothing from here on can reach are left alone
+            open_pieces, here = [s for s in open_pieces if x - s[2] <= HIDDEN + HEADER], x
         best = None
         for piece in open_pieces:
             dy, dx = y - piece[1], x - piece[2]
@@ -174,15 +168,16 @@ def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
                 best = piece
         if best is None:
             open_pieces.append([y, y, x, GRAM, r])
+            pieces.append(open_pieces[-1])
             continue
         best[4] += r
         dy, dx = y - best[1], x - best[2]
-        if dy <= GRAM or (dx == dy and dy <= 2 * GRAM + 2):
+        if dy <= GRAM or (dx == dy and dy <= REACH):
             best[3] += dy  # every word between is matched, or hidden by one or two changed letters
         else:
             best[3] += GRAM
         best[1], best[2] = y, x
-    spans = sorted(((s[0], s[1] + GRAM, s[3]) for s in open_pieces if s[4]), key=lambda s: s[1])
+    spans = sorted(((s[0], s[1] + GRAM, s[3]) for s in pieces if s[4]), key=lambda s: s[1])
     most, ends, tops = 0, [], []
     for first, last, n in spans:  # best piece that ends before this one begins
         k = int(np.searchsorted(ends, first, "right")) if ends else 0
@@ -192,37 +187,73 @@ def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
     return most
 
 
+def split(group: np.ndarray, value: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups, numbered in their old order, cut where sorted values lie more than gap apart; and the order by group and value."""
+    low = int(value.min())
+    by = np.argsort(group * (int(value.max()) - low + 1) + (value - low), kind="stable")
+    cut = np.concatenate([[False], (np.diff(group[by]) != 0) | (np.diff(value[by]) > gap)])
+    out = np.empty_like(group)
+    out[by] = np.cumsum(cut)
+    return out, by
+
+
+def candidates(t: Terms, term: np.ndarray, pos: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pair (text * items + item), text position, passage position and term, sorted, of every pair that may reach SHARE.
+
+    Neighbours in a piece lie at most HIDDEN + HEADER words of the text and HIDDEN of the passage apart, and their offsets
+    HEADER, so a piece lies in one cluster when clusters are cut at wider gaps. A piece begins with GRAM words and each
+    further passage position adds its distance at most, and REACH at most; two pieces in one cluster are GRAM positions
+    apart. The best two clusters therefore bound the words of any two pieces."""
+    start = t.where_from[term]
+    n = t.where_from[term + 1] - start
+    flat = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    items, need = len(t.lengths), SHARE * t.lengths
+    pair = np.repeat(text.astype(np.int64), n) * items + t.where_item[flat]
+    many = np.bincount(pair)
+    keep = np.flatnonzero((REACH * many >= need[np.arange(len(many)) % items])[pair]) if len(pair) else flat
+    pair, p, q, term = pair[keep], np.repeat(pos, n)[keep].astype(np.int64), t.where_pos[flat[keep]], np.repeat(term, n)[keep]
+    if not len(pair):
+        return pair, p, q, term
+    cluster = split(split(pair, p, HIDDEN + HEADER)[0], p - q, HEADER)[0]
+    cluster, by = split(cluster, q, HIDDEN)
+    same = np.diff(cluster[by]) == 0
+    adds = np.concatenate([[GRAM], np.where(same, np.minimum(np.diff(q[by]), REACH), GRAM)])
+    most = np.bincount(cluster[by], weights=adds)
+    of = np.empty(len(most), dtype=np.int64)
+    of[cluster] = pair
+    by = np.lexsort((-most, of))
+    of, most = of[by], most[by]
+    first = np.concatenate([[True], np.diff(of) != 0])
+    second = np.concatenate([[False], first[:-1]]) & ~first
+    names = of[first]
+    total = most[first] + np.bincount(np.searchsorted(names, of[second]), weights=most[second], minlength=len(names))
+    names = names[total >= need[names % items]]
+    keep = np.flatnonzero(np.isin(pair, names))
+    keep = keep[np.lexsort((q[keep], p[keep], pair[keep]))]
+    return pair[keep], p[keep], q[keep], term[keep]
+
+
 def match(index: DataFrame, terms: Terms, frequency: np.ndarray, texts: int) -> DataFrame:
     """key, item (place in the passages' list), words, length: candidates with SHARE of their words found."""
     ship(index.sparkSession)
-    shared = index.sparkSession.sparkContext.broadcast((terms, terms.anchors(frequency), frequency <= max(FORMULA_LEAST, FORMULA * texts)))
+    shared = index.sparkSession.sparkContext.broadcast((terms, frequency <= max(FORMULA_LEAST, FORMULA * texts)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, anchor, rare = shared.value
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            both = [(b.column(k).offsets.to_numpy(), b.column(k).values.to_numpy()) for k in (1, 2)]
-            for i in range(b.num_rows):
-                lo, hi = both[0][0][i], both[0][0][i + 1]
-                term, pos = both[0][1][lo:hi], both[1][1][both[1][0][i] : both[1][0][i + 1]]
-                hit = term[anchor[term]]
-                if not len(hit):
-                    continue
-                wanted = np.unique(np.concatenate([t.where_item[t.where_from[x] : t.where_from[x + 1]] for x in np.unique(hit)]))
-                start, end = t.where_from[term], t.where_from[term + 1]
-                n = end - start
-                flat = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                item, q, p, r = t.where_item[flat], t.where_pos[flat], np.repeat(pos, n), np.repeat(rare[term], n)
-                for w in wanted.tolist():
-                    own = item == w
-                    qs, length = q[own], int(t.lengths[w])
-                    if len(np.unique(qs)) + 2 * HIDDEN < SHARE * length - 2 * GRAM:
-                        continue
-                    found = min(two_pieces(p[own], qs, r[own]), length)
+        t, rare = shared.value
+        for whole in batches:
+            for b in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)):
+                out: list[tuple[int, int, int, int]] = []
+                size = np.diff(b.column(1).offsets.to_numpy())
+                pair, p, q, term = candidates(t, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size))
+                edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    i, w = divmod(int(pair[lo]), len(t.lengths))
+                    length = int(t.lengths[w])
+                    found = min(two_pieces(p[lo:hi], q[lo:hi], rare[term[lo:hi]]), length)
                     if found >= SHARE * length:
                         out.append((i, w, found, length))
-            cols = np.array(out, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *(pa.array(cols[:, k]) for k in (1, 2, 3))], ["key", "item", "words", "length"])
+                cols = np.array(out, dtype=np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *(pa.array(cols[:, k]) for k in (1, 2, 3))], ["key", "item", "words", "length"])
 
     kind = index.schema["key"].dataType.simpleString()
     return index.mapInArrow(run, f"key {kind}, item bigint, words bigint, length bigint")
