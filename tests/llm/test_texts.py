@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,40 @@ def test_leaks_with_letters_changed_throughout(spark, tmp_path, clean):
     assert {(r["key"], r["item"]) for r in out.collect()} == {(d, d % len(items)) for d, _ in docs}
 
 
+def test_leaks_into_a_third_of_the_texts(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = vocabulary(rng)
+    text = lambda n: rng.choices(vocab, k=n)
+    formula, long_formula = text(24), text(30)
+    items = [text(100), text(40) + formula + text(14) + long_formula + text(12)]
+    docs, want = [], set()
+
+    def doc(words, *hits):
+        docs.append((len(docs), " ".join([*text(12), *words, *text(12)])))
+        want.update((len(docs) - 1, h) for h in hits)
+
+    for k in range(400):
+        doc(items[0], 0)
+        doc([x if j % 8 else "q" + x[1:] for j, x in enumerate(items[0])], 0)  # changed letters
+        doc(items[0][10:35] if k % 4 == 0 else text(20))  # a shorter quotation
+        doc(formula)
+        doc(long_formula)
+    for k in range(30):
+        doc(formula + text(60) + long_formula)  # formulas alone, over two fifths
+        doc(items[0][:22] + text(50) + items[0][60:84], 0)
+        if k < 6:
+            doc(items[1], 1)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, passage string")
+    out = leaks.find(spark, df, "doc_id", "text", ev, "item_id", "passage", f"file://{tmp_path}/i")
+    assert {(r["key"], r["item"]) for r in out.collect()} == want
+
+
+def test_a_piece_word_for_word_is_no_formula():
+    at = np.arange(40)
+    assert leaks.two_pieces(at, at, np.zeros(40, bool), 40.0) == 44 and leaks.two_pieces(at, at, np.zeros(40, bool), 45.0) == 0
+
+
 def test_words_of_pieces_are_words_of_the_text():
     rng = random.Random(2)
     for _ in range(300):

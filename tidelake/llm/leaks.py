@@ -5,8 +5,10 @@ term numbers and word positions. Everything after it reads this index, not the t
 terms are counted from it. A document is a candidate for an item unless its postings cannot reach SHARE in any two
 pieces (an upper bound, nothing is lost by it). For candidates all postings of the item are intersected at their
 offsets: postings whose document and passage positions advance together form one piece, through changed letters
-(equal distances) and through page headers (a jump in the document only). A piece made of formulas alone (terms that many texts share) does not count. A case has one or two
-pieces, in the passage's order, that together hold SHARE of its words.
+(equal distances) and through page headers (a jump in the document only). A piece made of formulas alone does not
+count, unless SHARE of the passage stands in it word for word. A formula is a term of a passage that many texts hold
+outside it: most texts with the term do not hold the passage. So a passage copied into any number of texts is none.
+A case has one or two pieces, in the passage's order, that together hold SHARE of its words.
 
 The passages are a table of fixed, small size (checked against MOST_TERMS), so its term table goes to every task.
 The index is sharded by document: the intersection needs no shuffle, and no document or term is gathered in one
@@ -30,7 +32,8 @@ GRAM = 5
 SHARE = 0.4
 #: Most words that one posting adds to a piece: its own, and those that one or two changed letters hide before it.
 REACH = 2 * GRAM + 2
-#: A term in more than this share of the texts, and in more than FORMULA_LEAST of them, is a formula.
+#: A term that stands outside the passage in more than this share of the texts, in more than FORMULA_LEAST of them, and
+#: in more of them than inside it, is a formula.
 FORMULA, FORMULA_LEAST = 0.002, 5
 #: Words that a page header may put between two words of a piece; passage words that changed letters may hide.
 HEADER, HIDDEN = 24, 14
@@ -118,7 +121,7 @@ class Terms:
 
 
 def build_index(texts: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
-    """key, terms (array of int), positions (array of int): one row a text with any posting. Whole texts; null texts have none."""
+    """key, terms (array of int), positions (array of int): one row a text. Whole texts; null texts have none."""
     ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(terms)  # size checked by Terms
 
@@ -135,28 +138,25 @@ def build_index(texts: DataFrame, key: str, text: str, terms: Terms) -> DataFram
             return out
 
         for b in batches:
-            keys, rows = [], []
-            for i, doc in enumerate(b.column(1).to_pylist()):
+            rows = []
+            for doc in b.column(1).to_pylist():
                 flat: list[int] = []
                 for piece in JOIN.sub("", doc).split():
                     flat.extend(known.get(piece) or codes(piece))
-                found = t.postings(np.array(flat, dtype=np.int64))
-                if len(found[0]):
-                    keys.append(i)
-                    rows.append(found)
+                rows.append(t.postings(np.array(flat, dtype=np.int64)))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int32), pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *lists], ["key", "terms", "positions"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "terms", "positions"])
 
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, terms array<int>, positions array<int>")
 
 
-def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
+def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray, alone: float = np.inf) -> int:
     """Most passage words in two pieces, in the passage's order, given postings (p in the text, q in the passage) sorted by p then q.
 
-    Pieces without a rare posting are formulas and count nothing."""
-    open_pieces: list[list[int]] = []  # first q, last q, last p, words, rare postings
+    Pieces without a rare posting are formulas and count nothing, unless so many words as alone stand in them word for word."""
+    open_pieces: list[list[int]] = []  # first q, last q, last p, words, rare postings, words of the last run, of the longest
     pieces, here = [], -1
     for x, y, r in zip(p.tolist(), q.tolist(), rare.tolist(), strict=True):
         if x != here:  # pieces that nothing from here on can reach are left alone
@@ -167,7 +167,7 @@ def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
             if 0 < dy <= HIDDEN and dy - 3 <= dx <= dy + HEADER and dx > 0 and (best is None or piece[3] > best[3]):
                 best = piece
         if best is None:
-            open_pieces.append([y, y, x, GRAM, r])
+            open_pieces.append([y, y, x, GRAM, r, GRAM, GRAM])
             pieces.append(open_pieces[-1])
             continue
         best[4] += r
@@ -176,8 +176,10 @@ def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray) -> int:
             best[3] += dy  # every word between is matched, or hidden by one or two changed letters
         else:
             best[3] += GRAM
+        best[5] = best[5] + 1 if dx == dy == 1 else GRAM
+        best[6] = max(best[6], best[5])
         best[1], best[2] = y, x
-    spans = sorted(((s[0], s[1] + GRAM, s[3]) for s in pieces if s[4]), key=lambda s: s[1])
+    spans = sorted(((s[0], s[1] + GRAM, s[3]) for s in pieces if s[4] or s[6] >= alone), key=lambda s: s[1])
     most, ends, tops = 0, [], []
     for first, last, n in spans:  # best piece that ends before this one begins
         k = int(np.searchsorted(ends, first, "right")) if ends else 0
@@ -233,49 +235,82 @@ def candidates(t: Terms, term: np.ndarray, pos: np.ndarray, text: np.ndarray) ->
     return pair[keep], p[keep], q[keep], term[keep]
 
 
-def match(index: DataFrame, terms: Terms, frequency: np.ndarray, texts: int) -> DataFrame:
-    """key, item (place in the passages' list), words, length: candidates with SHARE of their words found."""
+def gather(index: DataFrame, terms: Terms) -> DataFrame:
+    """key, item (place in the passages' list), p, q (arrays of int): postings of the pairs with SHARE of the words found, formulas or not."""
     ship(index.sparkSession)
-    shared = index.sparkSession.sparkContext.broadcast((terms, frequency <= max(FORMULA_LEAST, FORMULA * texts)))
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, rare = shared.value
+        t = shared.value
         for whole in batches:
             for b in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)):
-                out: list[tuple[int, int, int, int]] = []
+                found: list[tuple[int, int, int, int]] = []
                 size = np.diff(b.column(1).offsets.to_numpy())
-                pair, p, q, term = candidates(t, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size))
+                pair, p, q, _ = candidates(t, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size))
                 edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     i, w = divmod(int(pair[lo]), len(t.lengths))
-                    length = int(t.lengths[w])
-                    found = min(two_pieces(p[lo:hi], q[lo:hi], rare[term[lo:hi]]), length)
-                    if found >= SHARE * length:
-                        out.append((i, w, found, length))
-                cols = np.array(out, dtype=np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *(pa.array(cols[:, k]) for k in (1, 2, 3))], ["key", "item", "words", "length"])
+                    if two_pieces(p[lo:hi], q[lo:hi], np.ones(hi - lo, dtype=np.int64)) >= SHARE * t.lengths[w]:
+                        found.append((i, w, lo, hi))
+                rows = np.array(found, dtype=np.int64).reshape(-1, 4)
+                ends = pa.array(np.concatenate([[0], np.cumsum(rows[:, 3] - rows[:, 2])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([v[lo:hi] for _, _, lo, hi in found]) if found else v[:0], pa.int32())) for v in (p, q)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), *lists], ["key", "item", "p", "q"])
 
     kind = index.schema["key"].dataType.simpleString()
-    return index.mapInArrow(run, f"key {kind}, item bigint, words bigint, length bigint")
+    return index.mapInArrow(run, f"key {kind}, item bigint, p array<int>, q array<int>")
+
+
+def formulas(terms: Terms, frequency: np.ndarray, inside: list[np.ndarray], texts: int) -> list[np.ndarray]:
+    """Per item, marks the positions whose term is a formula, given the texts with each term and, of them, those that hold the item."""
+    outside = [frequency[own] - held for own, held in zip(terms.of_item, inside, strict=True)]
+    return [(out > max(FORMULA_LEAST, FORMULA * texts)) & (out > held) for out, held in zip(outside, inside, strict=True)]
+
+
+def judge(pairs: DataFrame, terms: Terms, formula: list[np.ndarray]) -> DataFrame:
+    """key, item (place in the passages' list), words, length: the pairs with SHARE of their words found without formulas."""
+    ship(pairs.sparkSession)
+    shared = pairs.sparkSession.sparkContext.broadcast((terms.lengths, formula))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, formula = shared.value
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for i, (w, p, q) in enumerate(zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)):
+                p, q, length = p.values.to_numpy(), q.values.to_numpy(), int(lengths[w])
+                found = min(two_pieces(p, q, ~formula[w][q], SHARE * length), length)
+                if found >= SHARE * length:
+                    out.append((i, w, found, length))
+            cols = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *(pa.array(cols[:, k]) for k in (1, 2, 3))], ["key", "item", "words", "length"])
+
+    kind = pairs.schema["key"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"key {kind}, item bigint, words bigint, length bigint")
 
 
 def find(spark: SparkSession, texts: DataFrame, key: str, text: str, passages: DataFrame, item: str, passage: str, scratch: str) -> DataFrame:
     """key, item, words, length: every text that holds an item's passage, whole or in part.
 
     Null or empty passages and those of fewer than GRAM words leak nowhere. Repeated passages are each reported.
-    Extra columns are ignored. The index is written once under ``scratch``."""
+    Extra columns are ignored. The index and the pairs found in it are written once under ``scratch``."""
     wanted = passages.select(F.col(item).alias("item"), F.col(passage).alias("passage")).filter("passage is not null")
     if (wanted.agg(F.sum(F.length("passage") + 16).alias("n")).first()["n"] or 0) > MOST_CHARS:
         raise ValueError("too many passages for one pass: process them in blocks")
     rows = wanted.collect()  # of checked size
     rows.sort(key=lambda r: (r["item"] is None, r["item"]))
     terms = Terms([r["passage"] for r in rows])
-    build_index(texts, key, text, terms).write.mode("overwrite").parquet(scratch)
-    index = spark.read.parquet(scratch)
+    build_index(texts, key, text, terms).write.mode("overwrite").parquet(f"{scratch}/index")
+    index = spark.read.parquet(f"{scratch}/index")
     counted = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # one row a term
     frequency = np.zeros(len(terms.grams), dtype=np.int64)
     for r in counted:
         frequency[r["term"]] = r["n"]
-    found = match(index, terms, frequency, index.count())
+    gather(index, terms).write.mode("overwrite").parquet(f"{scratch}/pairs")
+    pairs = spark.read.parquet(f"{scratch}/pairs")
+    counted = pairs.select("item", F.explode(F.array_distinct("q")).alias("q")).groupBy("item", "q").agg(F.count("*").alias("n")).collect()  # one row a passage position
+    inside = [np.zeros(len(own), dtype=np.int64) for own in terms.of_item]
+    for r in counted:
+        inside[r["item"]][r["q"]] = r["n"]
+    found = judge(pairs, terms, formulas(terms, frequency, inside, index.count()))
     names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(rows)], f"_n bigint, item {passages.schema[item].dataType.simpleString()}")
     return found.withColumnRenamed("item", "_n").join(F.broadcast(names), "_n").select("key", "item", "words", "length")
