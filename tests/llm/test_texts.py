@@ -200,6 +200,13 @@ def test_occurrences(case):
     assert [f"{k} {text[a:b]}" for a, b, k in personal.Finder()(text)] == want
 
 
+def test_a_french_text_after_a_foreign_headnote():
+    head = "The duty of the carrier is to deliver and to account to the owner of the goods. " * 50
+    body = "Le bail et la vente de la cour et les pièces de la ville sont dans les dossiers de la mairie. " * 60
+    text = f"{head}\n\n{body}M. Grus n'était joignable qu'au 06.39.98.45.87. "
+    assert len(head) > 3000 and [f"{k} {text[a:b]}" for a, b, k in personal.Finder()(text)] == ["NAME Grus", "PHONE 06.39.98.45.87"]
+
+
 def test_redact_keeps_the_rest(spark):
     rows = [(1, HEAD, "x"), (2, None, "y"), (3, "", None), (4, "no one here", "z"), (5, "Mr Hondwyn lived at 9 Old Lane, Norford until the sale. " * 3000, "w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").withColumn("start", F.lit(1))

@@ -108,8 +108,8 @@ _function_words = [re.compile(rf"\b(?:{w})\b") for w in ("le|la|les|des|une|du|e
 
 
 def _is_french(text: str) -> bool:
-    """Whether French function words outnumber English and German ones at the text's start (the language alone is judged by it)."""
-    counts = [len(p.findall(text, 0, 3000)) for p in _function_words]
+    """Whether French function words outnumber English and German ones in the whole text."""
+    counts = [sum(1 for _ in p.finditer(text)) for p in _function_words]
     return counts[0] > max(counts[1:])
 
 
