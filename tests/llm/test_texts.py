@@ -207,6 +207,12 @@ def test_a_french_text_after_a_foreign_headnote():
     assert len(head) > 3000 and [f"{k} {text[a:b]}" for a, b, k in personal.Finder()(text)] == ["NAME Grus", "PHONE 06.39.98.45.87"]
 
 
+def test_short_names_at_a_cue_and_again():
+    text = "Witness: Jo Wu\nCounsel for the claimant: Anna Ott\n\nMr Wu gave evidence. The account of Wu was read; Ott replied. Otto Wurst Ltd and WUX stayed away.\n\nThe court was told that Ng lived at no address.\n\nNg lived at sea. She lived at home."
+    want = ["NAME Jo Wu", "NAME Anna Ott", "NAME Wu", "NAME Wu", "NAME Ott", "NAME Ng", "NAME Ng"]
+    assert [f"{k} {text[a:b]}" for a, b, k in personal.Finder()(text)] == want
+
+
 def test_redact_keeps_the_rest(spark):
     rows = [(1, HEAD, "x"), (2, None, "y"), (3, "", None), (4, "no one here", "z"), (5, "Mr Hondwyn lived at 9 Old Lane, Norford until the sale. " * 3000, "w")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").withColumn("start", F.lit(1))

@@ -143,14 +143,14 @@ def _automaton():
 _VONS = frozenset("van de von du della di VAN DE VON".split())
 
 
-def _clean(name: str) -> bool:
-    """Whether a span reads as a person's name: enough letters, no word that persons are not called."""
+def _clean(name: str, short: bool = False) -> bool:
+    """Whether a span reads as a person's name: enough letters (two if short), no word that persons are not called."""
     solid = False
     for part in name.split():
         part = part.strip(",")
         if len(part) < 2 or part[1] == "." and len(part) == 2 or part in _VONS:
             continue
-        if len(part) < 3 or part in NO_NAME or part.rstrip(".") in NO_NAME or sum(map(str.isdigit, part)) > 2:
+        if len(part) < 3 and not (short and part.isalpha() and part[0].isupper() and part not in TITLES) or part in NO_NAME or part.rstrip(".") in NO_NAME or sum(map(str.isdigit, part)) > 2:
             return False
         solid = True
     return solid
@@ -259,7 +259,7 @@ class Finder:
 
     @staticmethod
     def _accept(text: str, start: int, end: int, names: list) -> bool:
-        if not _clean(text[start:end]) or _company_next.match(text, end):
+        if not _clean(text[start:end], short=True) or _company_next.match(text, end):
             return False
         names.append((start, end))
         return True
@@ -325,7 +325,7 @@ class Finder:
                     self._left(text, max(0, start - 12) + joined.start(), names)
                 return
         m = _family_before.search(text[lo:at])
-        if m and at - lo - m.start(1) > 3 and (lo + m.start(1) == 0 or text[max(0, lo + m.start(1) - 2) : lo + m.start(1)] in (". ", ".\n", "] ", ") ", "\n\n") or text[lo + m.start(1) - 1] == "\n"):
+        if m and at - lo - m.start(1) > 1 and (lo + m.start(1) == 0 or text[max(0, lo + m.start(1) - 2) : lo + m.start(1)] in (". ", ".\n", "] ", ") ", "\n\n") or text[lo + m.start(1) - 1] == "\n"):
             self._accept(text, lo + m.start(1), at, names)
 
     def _versus(self, text: str, start: int, end: int, names: list) -> None:
@@ -359,7 +359,7 @@ class Finder:
             given.update(p for p in rest.split() if len(p.rstrip(".")) > 1)
         known = {g.lower() for g in given}
         for family in {f for s in surnames for f in (s, s.upper(), s.title() if s.isupper() else s)}:
-            if len(family) < 4:
+            if len(family) < 2:
                 continue
             at = text.find(family)
             while at >= 0:
