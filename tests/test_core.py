@@ -114,6 +114,16 @@ def test_lifecycle_ties_late_events_and_policies(spark):
 # quality
 
 
+def test_lag_percentiles_are_exact(spark):
+    # more values than any sketch keeps: 3 million distinct lags in one group, ranks by hand
+    n = 3_000_001
+    many = spark.range(n).select(F.lit("hot").alias("symbol"), (F.col("id") * 7 % n - 1000).alias("lag_ms"))
+    few = spark.createDataFrame([("a", 5), ("a", 5), ("a", -3), ("a", None), (None, 4), ("b", None)], "symbol string, lag_ms bigint")
+    out = {r["symbol"]: tuple(r)[1:] for r in quality.lag_percentiles(many.unionByName(few), ["symbol"]).collect()}
+    rank = lambda p: (p * n + 99) // 100 - 1 - 1000
+    assert out == {"hot": (n, rank(50), rank(95), rank(99), -1000, n - 1001), "a": (3, 5, 5, 5, -3, 5), None: (1, 4, 4, 4, 4, 4), "b": (0, None, None, None, None, None)}
+
+
 def lags(spark, p95, worst):
     return spark.createDataFrame([("d", p95, worst)], "label string, p95 bigint, worst bigint")
 

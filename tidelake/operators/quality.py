@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.operators.blocked import neighbour
+from tidelake.operators.column_profile import magnitude_bin
 
 CRITICAL, WARN = "CRITICAL", "WARN"
 #: Columns of an anomaly before it is stamped.
@@ -28,9 +29,26 @@ def freshness(lags: DataFrame, label: str, p95: str, worst: str, sla: float) ->
 
 
 def lag_percentiles(samples: DataFrame, by: list[str], lag: str = "lag_ms") -> DataFrame:
-    """samples, p50, p95, p99, low, high of a lag by group, with percentiles that are exact below a million values."""
-    q = lambda p: F.percentile_approx(lag, p, 1_000_000)
-    return samples.groupBy(*by).agg(F.count(lag).alias("samples"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.min(lag).alias("low"), F.max(lag).alias("high"))
+    """samples, p50, p95, p99, low, high of a lag by group; a percentile is the least value that so many of the samples do not exceed.
+
+    Exact at any size, from value counts: sums over magnitude bins name the bin of each rank, and only these are sorted."""
+    percents = (50, 95, 99)
+    counts = samples.groupBy(*by, F.col(lag).alias("_v")).agg(F.count(lag).alias("_n")).withColumn("_bin", magnitude_bin(F.col("_v")))
+    out = counts.groupBy(*by).agg(F.sum("_n").alias("samples"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    bins = counts.filter("_bin is not null").groupBy(*by, "_bin").agg(F.sum("_n").alias("_in"))
+    bins = bins.withColumns({"_upto": F.sum("_in").over(Window.partitionBy(*by).orderBy("_bin")), "_all": F.sum("_in").over(Window.partitionBy(*by))})
+    bins = bins.withColumn("_below", F.col("_upto") - F.col("_in")).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], F.col("_bin").alias("_b"), "_below", "_upto", *[F.expr(f"({p} * _all + 99) div 100").alias(f"_r{p}") for p in percents])
+    bins = bins.filter(" or ".join(f"_r{p} > _below and _r{p} <= _upto" for p in percents)).drop("_upto")
+    same = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v")) + F.col("_below")
+    found = counts.join(bins, same).withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    ranked = found.groupBy(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)]).agg(*[F.max(F.when((F.col("_from") < F.col(f"_r{p}")) & (F.col("_to") >= F.col(f"_r{p}")), F.col("_v"))).alias(f"p{p}") for p in percents])
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    return out.join(ranked, same, "left").select(*by, "samples", *[f"p{p}" for p in percents], "low", "high")
 
 
 def gap_segments(ids: DataFrame, dimension: str, column: str, step: int = 1, block: int = 100_000) -> DataFrame:
