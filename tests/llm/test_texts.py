@@ -161,8 +161,64 @@ def test_leaks_into_a_third_of_the_texts(spark, tmp_path):
 
 
 def test_a_piece_word_for_word_is_no_formula():
-    at = np.arange(40)
-    assert leaks.two_pieces(at, at, np.zeros(40, bool), 40.0) == 44 and leaks.two_pieces(at, at, np.zeros(40, bool), 45.0) == 0
+    at, letters = np.arange(40), np.arange(44, dtype=np.uint16)
+    spans = leaks.pieces(at, at, letters, letters)
+    words = lambda alone: leaks.best_two(leaks.without_formulas(spans, np.zeros(40, bool), alone))
+    assert words(40.0) == 44 and words(45.0) == 0
+
+
+def test_a_passage_in_any_share_of_the_texts(spark, tmp_path):
+    rng = random.Random(60)
+    vocab = vocabulary(rng)
+    text = lambda n: rng.choices(vocab, k=n)
+    passage = text(60)
+    ev = spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, passage string")
+    base = [(i, " ".join(text(60))) for i in range(1000)]
+    for n in (4, 5, 6, 20, 500):
+        docs = [(i, f"{t[:100]} {' '.join(passage)} {t[100:]}" if i < n else t) for i, t in base]
+        out = leaks.find(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", ev, "item_id", "passage", f"file://{tmp_path}/{n}")
+        assert sorted(r["key"] for r in out.collect()) == list(range(n))
+
+
+def test_a_second_suite_needs_the_index_only(spark, tmp_path):
+    rng = random.Random(61)
+    vocab = vocabulary(rng)
+    text = lambda n: rng.choices(vocab, k=n)
+    docs = [text(200) for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string")
+    path = f"file://{tmp_path}/index"
+    leaks.build_index(df, "doc_id", "text", path)
+    rows = spark.read.parquet(path)
+    assert rows.filter("term <> ''").agg(F.sum(F.octet_length("places") / 4).alias("n")).first()["n"] == 40 * 200
+    for suite in range(2):
+        wanted = [(1000 * suite + i, " ".join(t[20:80])) for i, t in enumerate(docs) if i % 2 == suite] + [(7000, " ".join(text(50))), (7001, " ".join(docs[3][:3])), (None, " ".join(docs[5][50:120])), (7002, None), (7003, "…")]
+        ev = spark.createDataFrame(wanted, "item_id bigint, passage string")
+        want = {(i, 1000 * suite + i) for i in range(suite, 40, 2)} | {(3, 7001), (5, None)}
+        for block in (10**6, 900):  # in one block, in many
+            out = leaks.search(spark, path, ev, "item_id", "passage", f"file://{tmp_path}/s{suite}-{block}", block)
+            assert {(r["key"], r["item"]) for r in out.collect()} == want
+
+
+def test_intersection_agrees_with_a_walk():
+    rng = random.Random(62)
+    for _ in range(60):
+        size = rng.randrange(5, 80)
+        at = np.array([rng.choice([-1, 0, 1, 2]) for _ in range(size)] + [-1] * 5, dtype=np.int32)
+        grams = np.unique(np.array([[rng.choice([0, 1, 2]) for _ in range(5)] for _ in range(6)] + [[0, 1, -2, -2, -2]], dtype=np.int32), axis=0)
+        lists = [np.flatnonzero(at == w) for w in range(3)]
+        phrase, base = leaks.intersect(grams, np.concatenate(lists), np.array([len(x) for x in lists]), at)
+        want = [(g, b) for b in range(size) for g, gram in enumerate(grams) if all(w < 0 or at[b + k] == w for k, w in enumerate(gram))]
+        assert sorted(zip(phrase.tolist(), base.tolist())) == sorted(want)
+
+
+def test_a_word_exchanged_ends_a_piece_a_letter_does_not():
+    words = [f"word{chr(97 + i)}{chr(98 + i % 20)}" for i in range(26)]
+    letters = lambda ws: np.array([leaks.sketch(w) for w in ws], dtype=np.uint16)
+    q = np.array([*range(8), *range(13, 22)])
+    changed, other = [*words], [*words]
+    changed[12], other[12] = "x" + words[12][1:], "somebody"
+    assert leaks.best_two([leaks.pieces(q, q, letters(changed), letters(words))[-1]]) == 26
+    assert max(s[2] for s in leaks.pieces(q, q, letters(other), letters(words))) == 13
 
 
 def test_words_of_pieces_are_words_of_the_text():

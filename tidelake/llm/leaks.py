@@ -1,52 +1,58 @@
-"""Evaluation passages inside corpus texts: a positional index of word sequences, intersected at their offsets.
-
-One scan of the corpus stores, per document, the postings of every word sequence (GRAM words) that any passage has:
-term numbers and word positions. Everything after it reads this index, not the texts. Document frequencies of the
-terms are counted from it. A document is a candidate for an item unless its postings cannot reach SHARE in any two
-pieces (an upper bound, nothing is lost by it). For candidates all postings of the item are intersected at their
-offsets: postings whose document and passage positions advance together form one piece, through changed letters
-(equal distances) and through page headers (a jump in the document only). A piece made of formulas alone does not
-count, unless SHARE of the passage stands in it word for word. A formula is a term of a passage that many texts hold
-outside it: most texts with the term do not hold the passage. So a passage copied into any number of texts is none.
-A case has one or two pieces, in the passage's order, that together hold SHARE of its words.
-
-The passages are a table of fixed, small size (checked against MOST_TERMS), so its term table goes to every task.
-The index is sharded by document: the intersection needs no shuffle, and no document or term is gathered in one
-place. Frequencies are one number a term."""
+"""Evaluation passages inside corpus texts: a distributed positional inverted index of the corpus, and phrase search in it.
+
+The index is sharded by text. A shard holds some hundreds of thousands of words: one row a term (a word, lower case
+without accents) with the list of all its places in the shard, and one head row with the texts' keys, where each text
+starts, and a sketch of the letters at each place. Every word of every text is in it, whatever will be asked later: a
+second suite of passages searches the stored index and reads no text again.
+
+A search brings the lists of the passages' words together, shard by shard. Each sequence of GRAM words of a passage is
+a phrase; its lists are intersected at their offsets, from the rarest word of the shard on. Phrases that advance
+together in text and passage form a piece: on one diagonal across words of which single letters were changed (the
+sketches of both sides tell), or across a page header (a jump in the text only). A word exchanged for another ends the
+piece, so formulas that share a frame with the passage stay short pieces. A case has one or two pieces, in the
+passage's order, that together hold SHARE of its words. Where it takes two, neither may be a formula: a piece all of
+whose phrases stand in more texts that do not hold the passage than in texts that do. A passage copied into any number
+of texts is therefore no formula, and the size of the corpus plays no part.
+
+No list and no text is gathered outside its shard, so a word that fills a third of the corpus is spread like the
+corpus. Passages are taken in blocks of bounded size; only a block's words and phrases go to every task."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelake.session import ship
 
 GRAM = 5
 #: Share of a passage's words that makes a case.
 SHARE = 0.4
-#: Most words that one posting adds to a piece: its own, and those that one or two changed letters hide before it.
-REACH = 2 * GRAM + 2
-#: A term that stands outside the passage in more than this share of the texts, in more than FORMULA_LEAST of them, and
-#: in more of them than inside it, is a formula.
-FORMULA, FORMULA_LEAST = 0.002, 5
-#: Words that a page header may put between two words of a piece; passage words that changed letters may hide.
+#: Words that a page header may put between two words of a piece; passage positions between two phrases of a piece.
 HEADER, HIDDEN = 24, 14
-#: Texts whose postings are looked at together.
-BLOCK = 100
-#: Size bounds of the passages and of their term table; beyond them the passages must be processed in blocks.
-MOST_CHARS, MOST_TERMS = 64_000_000, 4_000_000
+#: Sketches of a word and of the same word with a letter changed differ in at most so many bits.
+CHANGED = 2
+#: Words of a shard; a longer text is a shard of its own.
+SHARD = 400_000
+#: Characters of the passages looked for at once; more are looked for in several blocks.
+BLOCK_CHARS = 2_000_000
+#: Places looked at together while lists are intersected.
+AT_ONCE = 4_000_000
+#: Words a worker remembers the spelling of.
+REMEMBERED = 300_000
 
 WORD = re.compile(r"\w+")
 #: A hyphen inside a word, with or without a line break after it, is no border.
 JOIN = re.compile(r"(?<=[^\W\d_])[-­‐‑][ \t]*\n?[ \t]*(?=[^\W\d_])")
-#: Blank-separated pieces a worker remembers the words of.
-REMEMBERED = 300_000
+BITS = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.int8)
 
 
 def fold(text: str) -> str:
@@ -59,134 +65,173 @@ def words(text: str) -> list[str]:
     return WORD.findall(fold(JOIN.sub("", text)))
 
 
-class Terms:
-    """The passages' word sequences, numbered, with where they stand in which item."""
-
-    def __init__(self, passages: list[str | None]) -> None:
-        self.items = [words(p or "") for p in passages]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for it in self.items for w in it}))}
-        if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("too many different words in the passages: process them in blocks")
-        coded = [np.array([self.vocabulary[w] for w in it], dtype=np.int64) for it in self.items]
-        self.lengths = np.array([len(it) for it in self.items], dtype=np.int64)
-        heads = [self._head(c) for c in coded]
-        self.heads = np.unique(np.concatenate([h for h in heads if len(h)] or [np.zeros(0, np.int64)]))
-        grams = [self._gram(c) for c in coded]
-        self.grams = np.unique(np.concatenate([g[g >= 0] for g in grams] or [np.zeros(0, np.int64)]))
-        if len(self.grams) > MOST_TERMS:
-            raise ValueError("too many passages for one pass: process them in blocks")
-        where = sorted((int(t), i, q) for i, g in enumerate(grams) for q, t in enumerate(np.searchsorted(self.grams, g)))
-        self.where_term = np.array([w[0] for w in where], dtype=np.int64)
-        self.where_item = np.array([w[1] for w in where], dtype=np.int64)
-        self.where_pos = np.array([w[2] for w in where], dtype=np.int64)
-        self.where_from = np.searchsorted(self.where_term, np.arange(len(self.grams) + 1))
-        self.of_item = [np.searchsorted(self.grams, g) for g in grams]
-
-    @staticmethod
-    def _head(code: np.ndarray) -> np.ndarray:
-        """The first three of each GRAM words as one number: exact, as word numbers have 21 bits."""
-        n = len(code) - GRAM + 1
-        return (code[:n] << 42) | (code[1 : n + 1] << 21) | code[2 : n + 2] if n > 0 else np.zeros(0, np.int64)
-
-    def _gram(self, code: np.ndarray) -> np.ndarray:
-        """Each GRAM words as one number: the place of the head among known heads, and the last two words. -1 where unknown."""
-        head = self._head(code)
-        n = len(head)
-        if not n or not len(self.heads):
-            return np.full(n, -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
-        known = (self.heads[at] == head) & (code[3 : n + 3] >= 0) & (code[4 : n + 4] >= 0)
-        return np.where(known, (at << 42) | (code[3 : n + 3] << 21) | code[4 : n + 4], -1)
-
-    def postings(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and word positions in a coded text (unknown words are negative)."""
-        known = code >= 0
-        n = len(code) - GRAM + 1
-        if n <= 0 or not len(self.grams):
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        whole = known[:n].copy()
-        for k in range(1, GRAM):
-            whole &= known[k : n + k]
-        place = np.flatnonzero(whole)
-        if not len(place):
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        head = (code[place] << 42) | (code[place + 1] << 21) | code[place + 2]
-        at = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
-        ok = self.heads[at] == head
-        place, at = place[ok], at[ok]
-        gram = (at << 42) | (code[place + 3] << 21) | code[place + 4]
-        term = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        ok = self.grams[term] == gram
-        return term[ok].astype(np.int32), place[ok].astype(np.int32)
-
-
-def build_index(texts: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
-    """key, terms (array of int), positions (array of int): one row a text. Whole texts; null texts have none."""
+def sketch(word: str) -> int:
+    """Which letters a word has, in 16 bits: one changed letter flips at most two."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 15)
+    return out
+
+
+# the index
+
+
+class Vocabulary:
+    """Numbers of words met by one worker; forgotten when there are too many."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.spelt: list[str] = []
+        self.sketches: list[int] = []
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def codes(self, text: str) -> list[int]:
+        """The word numbers of a text."""
+        out: list[int] = []
+        pieces = self.pieces
+        for piece in JOIN.sub("", text).split():
+            known = pieces.get(piece)
+            out.extend(self._new(piece) if known is None else known)
+        return out
+
+    def _new(self, piece: str) -> tuple[int, ...]:
+        made = []
+        for w in WORD.findall(fold(piece)):
+            n = self.number.get(w)
+            if n is None:
+                n = self.number[w] = len(self.spelt)
+                self.spelt.append(w)
+                self.sketches.append(sketch(w))
+            made.append(n)
+        out = tuple(made)
+        if len(piece) < 40:
+            self.pieces[piece] = out
+        return out
+
+
+def shard_rows(vocabulary: Vocabulary, texts: list[list[int]]) -> tuple[list[str], pa.Array, bytes, bytes]:
+    """terms, places (int32 gaps, the first from 0), starts of the texts (int64) and sketches (uint16) of one shard. GRAM empty places part the texts."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + GRAM)[:-1]]).astype(np.int64)
+    flat = np.fromiter((c for t in texts for c in t), dtype=np.int64, count=int(lengths.sum()))
+    place = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(flat))
+    order = np.argsort(flat, kind="stable")
+    code, at = flat[order], place[order].astype(np.int32)
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    gaps = np.diff(at, prepend=np.int32(0)).astype(np.int32)
+    gaps[first] = at[first]
+    ends = np.append(first, len(code)).astype(np.int32) * 4
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(gaps.tobytes())])
+    marks = np.zeros(int((lengths + GRAM).sum()), dtype=np.uint16)
+    marks[place] = np.array(vocabulary.sketches, dtype=np.uint16)[flat] if len(flat) else []
+    return [vocabulary.spelt[c] for c in code[first].tolist()], lists, starts.tobytes(), marks.tobytes()
+
+
+def build_index(texts: DataFrame, key: str, text: str, path: str) -> None:
+    """Writes the index of all texts under a path: shard, term ('' in the head row), places, starts, sketches, keys. Null texts are in no shard.
+
+    One narrow stage. A shard's number is made of the task's, so a task run again writes the same rows."""
     ship(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(terms)  # size checked by Terms
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    kind = rows.schema["key"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        number, known = t.vocabulary, {}
-
-        def codes(piece: str) -> tuple[int, ...]:
-            out = tuple(number.get(w, -1) for w in WORD.findall(fold(piece)))
-            if len(piece) < 40:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[piece] = out
-            return out
+        known, keys, held, size = Vocabulary(), [], [], 0
+        number = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            terms, lists, starts, marks = shard_rows(known, held)
+            n = len(terms)
+            heads = pa.array([marks] + [None] * n, pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number] * (n + 1), pa.int64()), pa.array(["", *terms], pa.string()), pa.concat_arrays([pa.array([starts], pa.binary()), lists]), heads, pa.array([keys] + [None] * n, pa.list_(arrow))],
+                ["shard", "term", "places", "sketches", "keys"],
+            )
 
         for b in batches:
-            rows = []
-            for doc in b.column(1).to_pylist():
-                flat: list[int] = []
-                for piece in JOIN.sub("", doc).split():
-                    flat.extend(known.get(piece) or codes(piece))
-                rows.append(t.postings(np.array(flat, dtype=np.int64)))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int32), pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "terms", "positions"])
-
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, terms array<int>, positions array<int>")
-
-
-def two_pieces(p: np.ndarray, q: np.ndarray, rare: np.ndarray, alone: float = np.inf) -> int:
-    """Most passage words in two pieces, in the passage's order, given postings (p in the text, q in the passage) sorted by p then q.
-
-    Pieces without a rare posting are formulas and count nothing, unless so many words as alone stand in them word for word."""
-    open_pieces: list[list[int]] = []  # first q, last q, last p, words, rare postings, words of the last run, of the longest
-    pieces, here = [], -1
-    for x, y, r in zip(p.tolist(), q.tolist(), rare.tolist(), strict=True):
-        if x != here:  # pieces that nothing from here on can reach are left alone
-            open_pieces, here = [s for s in open_pieces if x - s[2] <= HIDDEN + HEADER], x
-        best = None
-        for piece in open_pieces:
-            dy, dx = y - piece[1], x - piece[2]
-            if 0 < dy <= HIDDEN and dy - 3 <= dx <= dy + HEADER and dx > 0 and (best is None or piece[3] > best[3]):
-                best = piece
-        if best is None:
-            open_pieces.append([y, y, x, GRAM, r, GRAM, GRAM])
-            pieces.append(open_pieces[-1])
-            continue
-        best[4] += r
-        dy, dx = y - best[1], x - best[2]
-        if dy <= GRAM or (dx == dy and dy <= REACH):
-            best[3] += dy  # every word between is matched, or hidden by one or two changed letters
-        else:
-            best[3] += GRAM
-        best[5] = best[5] + 1 if dx == dy == 1 else GRAM
-        best[6] = max(best[6], best[5])
-        best[1], best[2] = y, x
-    spans = sorted(((s[0], s[1] + GRAM, s[3]) for s in pieces if s[4] or s[6] >= alone), key=lambda s: s[1])
-    most, ends, tops = 0, [], []
-    for first, last, n in spans:  # best piece that ends before this one begins
-        k = int(np.searchsorted(ends, first, "right")) if ends else 0
-        most = max(most, n + (tops[k - 1] if k else 0))
-        ends.append(last)
-        tops.append(max(n, tops[-1] if tops else 0))
-    return most
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                codes = known.codes(t)
+                if held and size + len(codes) + GRAM > SHARD:
+                    yield flush()
+                    number, keys, held, size = number + 1, [], [], 0
+                    if len(known.spelt) + len(known.pieces) > REMEMBERED:
+                        known.clear()
+                        codes = known.codes(t)
+                keys.append(k)
+                held.append(codes)
+                size += len(codes) + GRAM
+        if held:
+            yield flush()
+
+    schema = f"shard bigint, term string, places binary, sketches binary, keys array<{kind.simpleString()}>"
+    rows.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+# the passages
+
+
+class Phrases:
+    """The passages' words and word sequences, numbered, with where they stand in which passage.
+
+    A passage of fewer than GRAM words is one phrase, which must stand whole."""
+
+    def __init__(self, items: list, passages: list[str]) -> None:
+        self.items = items
+        texts = [words(p) for p in passages]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.sketches = [np.array([sketch(w) for w in t], dtype=np.uint16) for t in texts]
+        rows, item, at = [], [], []
+        for i, t in enumerate(texts):
+            code = [self.vocabulary[w] for w in t] + [-2] * max(0, GRAM - len(t))
+            for q in range(len(code) - GRAM + 1 if t else 0):
+                rows.append(code[q : q + GRAM])
+                item.append(i)
+                at.append(q)
+        sizes = np.bincount(np.array(item, dtype=np.int64), minlength=len(texts))
+        grams = np.array(rows, dtype=np.int32).reshape(-1, GRAM)
+        self.grams, number = np.unique(grams, axis=0, return_inverse=True)
+        by = np.argsort(number.reshape(-1), kind="stable")
+        self.where_item, self.where_pos = np.array(item, dtype=np.int64)[by], np.array(at, dtype=np.int64)[by]
+        self.where_from = np.searchsorted(number.reshape(-1)[by], np.arange(len(self.grams) + 1))
+        self.of_item = [number.reshape(-1)[a:b] for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
+
+
+def intersect(grams: np.ndarray, places: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase number and place of every phrase in a shard, by place.
+
+    places: the words' lists one after another, sizes: their lengths by word, at: the word at each place (-1: another).
+    The list of a phrase's rarest word is taken; what the next rarer words lack at their offsets falls out first."""
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    rank = np.where(grams < 0, np.iinfo(np.int64).max, sizes[grams])  # words that are not asked for come last
+    whole = np.flatnonzero(np.where(grams < 0, 1, sizes[grams]).min(axis=1) > 0)
+    order = np.argsort(rank[whole], axis=1, kind="stable")
+    rarest = np.take_along_axis(grams[whole], order[:, :1], 1)[:, 0]
+    upto = np.cumsum(sizes[rarest])
+    found, a = [], 0
+    while a < len(whole):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + AT_ONCE, "right")))
+        n = sizes[rarest[a:b]]
+        phrase = np.repeat(np.arange(a, b), n)
+        flat = np.repeat(start[rarest[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        base = places[flat] - order[phrase, 0]
+        keep = (base >= 0) & (base + GRAM <= len(at))
+        phrase, base = phrase[keep], base[keep]
+        for j in range(1, GRAM):
+            off = order[phrase, j]
+            want = grams[whole[phrase], off]
+            keep = (want < 0) | (at[base + off] == want)
+            phrase, base = phrase[keep], base[keep]
+        found.append((whole[phrase], base))
+        a = b
+    phrase = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
+    base = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+    by = np.argsort(base, kind="stable")
+    return phrase[by], base[by]
 
 
 def split(group: np.ndarray, value: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,27 +244,29 @@ def split(group: np.ndarray, value: np.ndarray, gap: int) -> tuple[np.ndarray, n
     return out, by
 
 
-def candidates(t: Terms, term: np.ndarray, pos: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """pair (text * items + item), text position, passage position and term, sorted, of every pair that may reach SHARE.
+def candidates(t: Phrases, phrase: np.ndarray, pos: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pair (text * items + item), place in the text and in the passage, sorted, of every pair that may reach SHARE.
 
     Neighbours in a piece lie at most HIDDEN + HEADER words of the text and HIDDEN of the passage apart, and their offsets
     HEADER, so a piece lies in one cluster when clusters are cut at wider gaps. A piece begins with GRAM words and each
-    further passage position adds its distance at most, and REACH at most; two pieces in one cluster are GRAM positions
-    apart. The best two clusters therefore bound the words of any two pieces."""
-    start = t.where_from[term]
-    n = t.where_from[term + 1] - start
+    further position adds its distance at most; two pieces in one cluster are GRAM positions apart. The best two
+    clusters therefore bound the words of any two pieces: what is left out here can't be a case."""
+    start = t.where_from[phrase]
+    n = t.where_from[phrase + 1] - start
     flat = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
     items, need = len(t.lengths), SHARE * t.lengths
     pair = np.repeat(text.astype(np.int64), n) * items + t.where_item[flat]
-    many = np.bincount(pair)
-    keep = np.flatnonzero((REACH * many >= need[np.arange(len(many)) % items])[pair]) if len(pair) else flat
-    pair, p, q, term = pair[keep], np.repeat(pos, n)[keep].astype(np.int64), t.where_pos[flat[keep]], np.repeat(term, n)[keep]
     if not len(pair):
-        return pair, p, q, term
-    cluster = split(split(pair, p, HIDDEN + HEADER)[0], p - q, HEADER)[0]
+        return pair, pair, pair
+    names, of, many = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero((HIDDEN * many >= need[names % items])[of])
+    pair, p, q = pair[keep], np.repeat(pos, n)[keep].astype(np.int64), t.where_pos[flat[keep]]
+    if not len(pair):
+        return pair, p, q
+    cluster = split(split(np.searchsorted(names, pair), p, HIDDEN + HEADER)[0], p - q, HEADER)[0]
     cluster, by = split(cluster, q, HIDDEN)
     same = np.diff(cluster[by]) == 0
-    adds = np.concatenate([[GRAM], np.where(same, np.minimum(np.diff(q[by]), REACH), GRAM)])
+    adds = np.concatenate([[GRAM], np.where(same, np.diff(q[by]), GRAM)])
     most = np.bincount(cluster[by], weights=adds)
     of = np.empty(len(most), dtype=np.int64)
     of[cluster] = pair
@@ -231,86 +278,197 @@ def candidates(t: Terms, term: np.ndarray, pos: np.ndarray, text: np.ndarray) ->
     total = most[first] + np.bincount(np.searchsorted(names, of[second]), weights=most[second], minlength=len(names))
     names = names[total >= need[names % items]]
     keep = np.flatnonzero(np.isin(pair, names))
-    keep = keep[np.lexsort((q[keep], p[keep], pair[keep]))]
-    return pair[keep], p[keep], q[keep], term[keep]
+    keep = keep[np.lexsort((p[keep], p[keep] - q[keep], pair[keep]))]
+    return pair[keep], p[keep], q[keep]
+
+
+def pieces(p: np.ndarray, q: np.ndarray, text: np.ndarray, passage: np.ndarray) -> list[tuple[int, int, int]]:
+    """(end, first, words) of every piece, by its end in the passage, given the phrases' places (sorted by p - q, then p) and the letter sketches of both sides."""
+    step, same = np.diff(q), np.diff(p - q) == 0
+    joined = same & (step <= GRAM)
+    holes = np.flatnonzero(same & (step > GRAM) & (step <= HIDDEN))
+    if len(holes):
+        n = step[holes] - GRAM
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left = np.repeat(holes, n)
+        near = BITS[text[p[left] + GRAM + inside] ^ passage[q[left] + GRAM + inside]] <= CHANGED
+        joined[holes] = np.logical_and.reduceat(near, np.cumsum(n) - n)
+    ends = np.append(np.flatnonzero(~joined), len(q) - 1)
+    begins = np.append(0, ends[:-1] + 1)
+    # runs on one diagonal: first and last phrase in the text and in the passage
+    runs = sorted(zip(p[begins].tolist(), q[begins].tolist(), p[ends].tolist(), q[ends].tolist(), strict=True))
+    spans, open_runs = [], []  # of each run that later ones may go on from: last q, last p, first q, words
+    for p0, q0, p1, q1 in runs:
+        open_runs = [r for r in open_runs if p0 - r[1] <= 2 * GRAM + HEADER]
+        first, n = q0, q1 - q0 + GRAM
+        for last_q, last_p, earlier, so_far in open_runs:
+            dq, dp = q0 - last_q, p0 - last_p
+            if 0 < dq <= GRAM + 1 and dp > 0 and dp != dq and -1 <= dp - dq <= HEADER and so_far + q1 - last_q > n:
+                first, n = earlier, so_far + q1 - last_q
+        open_runs.append((q1, p1, first, n))
+        spans.append((min(q1 + GRAM, len(passage)), first, min(n, len(passage))))
+    return sorted(set(spans))
+
+
+def best_two(spans: list[tuple[int, int, int]]) -> int:
+    """Most words in one piece, or in two of which one ends before the other begins."""
+    most, closed, tops = 0, [], []
+    for last, first, n in spans:
+        k = bisect_right(closed, first)
+        most = max(most, n + (tops[k - 1] if k else 0))
+        closed.append(last)
+        tops.append(max(n, tops[-1] if tops else 0))
+    return most
 
 
-def gather(index: DataFrame, terms: Terms) -> DataFrame:
-    """key, item (place in the passages' list), p, q (arrays of int): postings of the pairs with SHARE of the words found, formulas or not."""
-    ship(index.sparkSession)
-    shared = index.sparkSession.sparkContext.broadcast(terms)
+def without_formulas(spans: list[tuple[int, int, int]], rare: np.ndarray, alone: float) -> list[tuple[int, int, int]]:
+    """The pieces with a phrase (a passage position) marked as rare, and those that hold so many words as alone by themselves."""
+    return [s for s in spans if s[2] >= alone or rare[s[1] : max(s[1] + 1, s[0] - GRAM + 1)].any()]
+
+
+def _lists(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of several lists one after another, and how many each has."""
+    sizes = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+    gaps = np.frombuffer(b"".join(blobs), dtype=np.int32).astype(np.int64)
+    run = np.cumsum(gaps)
+    before = np.concatenate([[0], run[np.cumsum(sizes)[:-1] - 1]]) if len(blobs) else np.zeros(0, np.int64)
+    return run - np.repeat(before, sizes), sizes
+
+
+def search_shard(t: Phrases, starts: np.ndarray, sketches: np.ndarray, terms: list[int], blobs: list[bytes]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Of one shard: (text, item, pieces, passage positions found) of every pair with SHARE of the words in one or two pieces, formulas or not; the phrases in it; the texts with each.
+
+    terms: word numbers, in rising order."""
+    places, some = _lists(blobs)
+    sizes = np.zeros(len(t.vocabulary), dtype=np.int64)
+    sizes[terms] = some
+    at = np.full(len(sketches), -1, dtype=np.int32)
+    at[places] = np.repeat(np.array(terms, dtype=np.int32), some)
+    phrase, base = intersect(t.grams, places, sizes, at)
+    text = np.searchsorted(starts, base, "right") - 1
+    held, texts = np.unique(np.unique(phrase * len(starts) + text) // max(1, len(starts)), return_counts=True)
+    pair, p, q = candidates(t, phrase, base - starts[text], text)
+    out = []
+    edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        doc, item = divmod(int(pair[lo]), len(t.lengths))
+        spans = pieces(p[lo:hi], q[lo:hi], sketches[starts[doc] :], t.sketches[item])
+        if best_two(spans) >= max(SHARE * t.lengths[item], min(GRAM, t.lengths[item])):
+            out.append((doc, item, spans, np.unique(q[lo:hi])))
+    return out, held, texts
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for whole in batches:
-            for b in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)):
-                found: list[tuple[int, int, int, int]] = []
-                size = np.diff(b.column(1).offsets.to_numpy())
-                pair, p, q, _ = candidates(t, b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), size))
-                edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    i, w = divmod(int(pair[lo]), len(t.lengths))
-                    if two_pieces(p[lo:hi], q[lo:hi], np.ones(hi - lo, dtype=np.int64)) >= SHARE * t.lengths[w]:
-                        found.append((i, w, lo, hi))
-                rows = np.array(found, dtype=np.int64).reshape(-1, 4)
-                ends = pa.array(np.concatenate([[0], np.cumsum(rows[:, 3] - rows[:, 2])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([v[lo:hi] for _, _, lo, hi in found]) if found else v[:0], pa.int32())) for v in (p, q)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), *lists], ["key", "item", "p", "q"])
-
-    kind = index.schema["key"].dataType.simpleString()
-    return index.mapInArrow(run, f"key {kind}, item bigint, p array<int>, q array<int>")
-
-
-def formulas(terms: Terms, frequency: np.ndarray, inside: list[np.ndarray], texts: int) -> list[np.ndarray]:
-    """Per item, marks the positions whose term is a formula, given the texts with each term and, of them, those that hold the item."""
-    outside = [frequency[own] - held for own, held in zip(terms.of_item, inside, strict=True)]
-    return [(out > max(FORMULA_LEAST, FORMULA * texts)) & (out > held) for out, held in zip(outside, inside, strict=True)]
-
-
-def judge(pairs: DataFrame, terms: Terms, formula: list[np.ndarray]) -> DataFrame:
-    """key, item (place in the passages' list), words, length: the pairs with SHARE of their words found without formulas."""
-    ship(pairs.sparkSession)
-    shared = pairs.sparkSession.sparkContext.broadcast((terms.lengths, formula))
+
+# searching
+
+
+def search_block(index: DataFrame, t: Phrases, path: str) -> None:
+    """Writes, under a path, the pairs of one block of passages (key, item: place in the block, words, sure: whether one piece is enough, spans, held) and, shard by shard, how many texts have each phrase.
+
+    One shuffle, of the asked words' lists, by shard."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast(t)  # a block of passages: of bounded size
+    asked = spark.createDataFrame([("", -1), *t.vocabulary.items()], "term string, number int")
+    rows = index.join(F.broadcast(asked), "term").select("shard", "number", "places", "sketches", "keys")
+    key_type = index.schema["keys"].dataType.elementType
+    arrow, ints = to_arrow_type(key_type), pa.list_(pa.int32())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, formula = shared.value
+        phrases = shared.value
+        head, terms, blobs, current = None, [], [], None
+
+        def close() -> pa.RecordBatch:
+            keys, starts, sketches = head
+            found, held, texts = search_shard(phrases, starts, sketches, terms, blobs)
+            n = len(found)
+            sure = [max(s[2] for s in spans) >= SHARE * phrases.lengths[i] for _, i, spans, _ in found]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([keys[f[0]] for f in found] + [None], arrow), pa.array([f[1] for f in found] + [None], pa.int32()), pa.array([best_two(f[2]) for f in found] + [None], pa.int64()), pa.array(sure + [None], pa.bool_()),
+                    pa.array([None if ok else [x for s in f[2] for x in s] for ok, f in zip(sure, found, strict=True)] + [None], ints), pa.array([f[3].tolist() for f in found] + [None], ints),
+                    pa.array([None] * n + [held.astype(np.int32)], ints), pa.array([None] * n + [texts.astype(np.int32)], ints),
+                ],
+                ["key", "item", "words", "sure", "spans", "held", "phrases", "texts"],
+            )
+
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for i, (w, p, q) in enumerate(zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)):
-                p, q, length = p.values.to_numpy(), q.values.to_numpy(), int(lengths[w])
-                found = min(two_pieces(p, q, ~formula[w][q], SHARE * length), length)
-                if found >= SHARE * length:
-                    out.append((i, w, found, length))
-            cols = np.array(out, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *(pa.array(cols[:, k]) for k in (1, 2, 3))], ["key", "item", "words", "length"])
+            for shard, number, places, sketches, keys in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if shard != current:
+                    if head is not None:
+                        yield close()
+                    head, terms, blobs, current = None, [], [], shard
+                if number < 0:
+                    head = keys, np.frombuffer(places, dtype=np.int64), np.frombuffer(sketches, dtype=np.uint16)
+                else:
+                    terms.append(number)
+                    blobs.append(places)
+        if head is not None:
+            yield close()
+
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "number")
+    ordered.mapInArrow(run, f"key {key_type.simpleString()}, item int, words bigint, sure boolean, spans array<int>, held array<int>, phrases array<int>, texts array<int>").write.mode("overwrite").parquet(path)
+
+
+def judge(found: DataFrame, t: Phrases, item_type) -> DataFrame:
+    """key, item, words, length: the pairs that are cases without their formulas. Only pairs that need two pieces are judged.
+
+    Brought to the driver: one number for each phrase, and passage position, of the items with such a pair, at most the block's."""
+    spark = found.sparkSession
+    pairs = found.filter("item is not null")
+    doubtful = pairs.filter("not sure").select("item").distinct()
+    inside = {i: np.zeros(len(t.of_item[i]), dtype=np.int64) for i in (r["item"] for r in doubtful.collect())}
+    everywhere = {}
+    if inside:
+        for r in pairs.join(F.broadcast(doubtful), "item", "left_semi").select("item", F.explode("held").alias("q")).groupBy("item", "q").agg(F.count("*").alias("n")).collect():
+            inside[r["item"]][r["q"]] = r["n"]
+        wanted = spark.createDataFrame([(int(x),) for x in np.unique(np.concatenate([t.of_item[i] for i in inside]))], "phrase int")
+        counts = found.filter("phrases is not null").select(F.explode(F.arrays_zip("phrases", "texts")).alias("c")).select(F.col("c.phrases").alias("phrase"), F.col("c.texts").alias("n"))
+        everywhere = {r["phrase"]: r["n"] for r in counts.join(F.broadcast(wanted), "phrase").groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
+    rare = {i: np.array([everywhere.get(x, 0) - n <= n for x, n in zip(t.of_item[i].tolist(), held.tolist(), strict=True)], dtype=bool) for i, held in inside.items()}
+    shared = spark.sparkContext.broadcast((t.items, t.lengths, rare))
+    key_type = found.schema["key"].dataType
+    kind = to_arrow_type(item_type)
 
-    kind = pairs.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"key {kind}, item bigint, words bigint, length bigint")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, lengths, rare = shared.value
+        for b in batches:
+            rows, out = [], []
+            for k, (i, n, sure, spans, held) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                if not sure:
+                    mark = np.zeros(len(rare[i]), dtype=bool)
+                    mark[held] = rare[i][held]
+                    n = best_two(without_formulas(list(zip(spans[::3], spans[1::3], spans[2::3], strict=True)), mark, SHARE * lengths[i]))
+                if n >= SHARE * lengths[i]:
+                    rows.append(k)
+                    out.append((items[i], n, int(lengths[i])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([o[0] for o in out], kind), *(pa.array([o[c] for o in out], pa.int64()) for c in (1, 2))], ["key", "item", "words", "length"])
+
+    return pairs.select("key", "item", "words", "sure", "spans", "held").mapInArrow(run, f"key {key_type.simpleString()}, item {item_type.simpleString()}, words bigint, length bigint")
+
+
+def search(spark: SparkSession, path: str, passages: DataFrame, item: str, passage: str, scratch: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """key, item, words, length: every text of a stored index that holds an item's passage, whole or in part.
+
+    Null, blank and wordless passages leak nowhere; those of fewer than GRAM words where they stand whole. Repeated
+    passages are each reported. Passages are searched in blocks of about ``block_chars`` characters, each block's pairs
+    written once under ``scratch``."""
+    ship(spark)
+    index = spark.read.parquet(path)
+    item_type = passages.schema[item].dataType
+    wanted = passages.select(F.col(item).alias("item"), F.col(passage).alias("passage")).filter(F.col("passage").rlike(r"(?U)\w"))
+    chars = wanted.agg(F.sum(F.length("passage") + 16).alias("n")).first()["n"] or 0
+    blocks = -(-chars // block_chars)
+    out = None
+    for k in range(max(1, blocks)):
+        some = wanted if blocks < 2 else wanted.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == k)
+        rows = sorted(some.collect(), key=lambda r: (r["item"] is None, r["item"], r["passage"]))  # one block
+        t = Phrases([r["item"] for r in rows], [r["passage"] for r in rows])
+        search_block(index, t, f"{scratch}/pairs-{k}")
+        found = judge(spark.read.parquet(f"{scratch}/pairs-{k}"), t, item_type)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def find(spark: SparkSession, texts: DataFrame, key: str, text: str, passages: DataFrame, item: str, passage: str, scratch: str) -> DataFrame:
-    """key, item, words, length: every text that holds an item's passage, whole or in part.
-
-    Null or empty passages and those of fewer than GRAM words leak nowhere. Repeated passages are each reported.
-    Extra columns are ignored. The index and the pairs found in it are written once under ``scratch``."""
-    wanted = passages.select(F.col(item).alias("item"), F.col(passage).alias("passage")).filter("passage is not null")
-    if (wanted.agg(F.sum(F.length("passage") + 16).alias("n")).first()["n"] or 0) > MOST_CHARS:
-        raise ValueError("too many passages for one pass: process them in blocks")
-    rows = wanted.collect()  # of checked size
-    rows.sort(key=lambda r: (r["item"] is None, r["item"]))
-    terms = Terms([r["passage"] for r in rows])
-    build_index(texts, key, text, terms).write.mode("overwrite").parquet(f"{scratch}/index")
-    index = spark.read.parquet(f"{scratch}/index")
-    counted = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # one row a term
-    frequency = np.zeros(len(terms.grams), dtype=np.int64)
-    for r in counted:
-        frequency[r["term"]] = r["n"]
-    gather(index, terms).write.mode("overwrite").parquet(f"{scratch}/pairs")
-    pairs = spark.read.parquet(f"{scratch}/pairs")
-    counted = pairs.select("item", F.explode(F.array_distinct("q")).alias("q")).groupBy("item", "q").agg(F.count("*").alias("n")).collect()  # one row a passage position
-    inside = [np.zeros(len(own), dtype=np.int64) for own in terms.of_item]
-    for r in counted:
-        inside[r["item"]][r["q"]] = r["n"]
-    found = judge(pairs, terms, formulas(terms, frequency, inside, index.count()))
-    names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(rows)], f"_n bigint, item {passages.schema[item].dataType.simpleString()}")
-    return found.withColumnRenamed("item", "_n").join(F.broadcast(names), "_n").select("key", "item", "words", "length")
+    """The index of the texts, written under ``scratch``, and the passages searched in it. Extra columns are ignored."""
+    build_index(texts, key, text, f"{scratch}/index")
+    return search(spark, f"{scratch}/index", passages, item, passage, scratch)

@@ -64,10 +64,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (p7_found, p7_nearest, p8_containers, p9_found, p9_leaks, p10_found, p10_redacted)}
 
 
+#: TESTDATA.md: symbols are equal when their letters are, ignoring case.
+_LETTERS = "nullif(upper(regexp_replace(symbol, '[^\\p{L}]', '', 'g')), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    nearest = f"""with fills as (select order_id, arg_max(upper(trim(symbol)), updated_at) symbol, arg_max(epoch_us(filled_at), updated_at) t from processed_orders where filled_at is not null and order_id is not null group by 1),
-  cand as (select 'processed_trades' matched_table, {TRADE_US} tol, upper(trim(symbol)) symbol, epoch_us(trade_time) t, trade_id k from processed_trades where trade_time is not null
-    union all select 'processed_klines', {BAR_US}, upper(trim(symbol)), epoch_us(open_time), epoch_ms(open_time) from processed_klines where "interval" = '1m' and open_time is not null),
+    nearest = f"""with fills as (select order_id, arg_max({_LETTERS}, updated_at) symbol, arg_max(epoch_us(filled_at), updated_at) t from processed_orders where filled_at is not null and order_id is not null group by 1),
+  cand as (select 'processed_trades' matched_table, {TRADE_US} tol, {_LETTERS} symbol, epoch_us(trade_time) t, trade_id k from processed_trades where trade_time is not null
+    union all select 'processed_klines', {BAR_US}, {_LETTERS}, epoch_us(open_time), epoch_ms(open_time) from processed_klines where "interval" = '1m' and open_time is not null),
   pairs as (select f.order_id, c.matched_table, c.k matched_key, abs(c.t - f.t) distance_us, row_number() over (partition by f.order_id, c.matched_table order by abs(c.t - f.t), c.t, c.k) rn
     from fills f join cand c on f.symbol = c.symbol and c.t between f.t - c.tol and f.t + c.tol)"""
     return {
