@@ -42,6 +42,8 @@ HEADER, HIDDEN = 24, 14
 CHANGED = 2
 #: Words of a shard; a longer text is a shard of its own.
 SHARD = 400_000
+#: Shards a task searches, one after another.
+SHARDS_A_TASK = 6
 #: Characters of the passages looked for at once; more are looked for in several blocks.
 BLOCK_CHARS = 2_000_000
 #: Places looked at together while lists are intersected.
@@ -210,7 +212,8 @@ def intersect(grams: np.ndarray, places: np.ndarray, sizes: np.ndarray, at: np.n
     rank = np.where(grams < 0, np.iinfo(np.int64).max, sizes[grams])  # words that are not asked for come last
     whole = np.flatnonzero(np.where(grams < 0, 1, sizes[grams]).min(axis=1) > 0)
     order = np.argsort(rank[whole], axis=1, kind="stable")
-    rarest = np.take_along_axis(grams[whole], order[:, :1], 1)[:, 0]
+    wanted = np.ascontiguousarray(np.take_along_axis(grams[whole], order, 1).T)  # word by word, the rarest first
+    order, rarest = np.ascontiguousarray(order.T), wanted[0]
     upto = np.cumsum(sizes[rarest])
     found, a = [], 0
     while a < len(whole):
@@ -218,26 +221,25 @@ def intersect(grams: np.ndarray, places: np.ndarray, sizes: np.ndarray, at: np.n
         n = sizes[rarest[a:b]]
         phrase = np.repeat(np.arange(a, b), n)
         flat = np.repeat(start[rarest[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        base = places[flat] - order[phrase, 0]
+        base = places[flat] - order[0][phrase]
         keep = (base >= 0) & (base + GRAM <= len(at))
         phrase, base = phrase[keep], base[keep]
         for j in range(1, GRAM):
-            off = order[phrase, j]
-            want = grams[whole[phrase], off]
-            keep = (want < 0) | (at[base + off] == want)
+            want = wanted[j][phrase]
+            keep = (want < 0) | (at[base + order[j][phrase]] == want)
             phrase, base = phrase[keep], base[keep]
         found.append((whole[phrase], base))
         a = b
     phrase = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
     base = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
-    by = np.argsort(base, kind="stable")
+    by = np.argsort(base)  # a place has one phrase at most, but for short ones
     return phrase[by], base[by]
 
 
 def split(group: np.ndarray, value: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Groups, numbered in their old order, cut where sorted values lie more than gap apart; and the order by group and value."""
     low = int(value.min())
-    by = np.argsort(group * (int(value.max()) - low + 1) + (value - low), kind="stable")
+    by = np.argsort(group * (int(value.max()) - low + 1) + (value - low))
     cut = np.concatenate([[False], (np.diff(group[by]) != 0) | (np.diff(value[by]) > gap)])
     out = np.empty_like(group)
     out[by] = np.cumsum(cut)
@@ -404,7 +406,8 @@ def search_block(index: DataFrame, t: Phrases, path: str) -> None:
         if head is not None:
             yield close()
 
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "number")
+    shards = index.filter("term = ''").count()
+    ordered = rows.repartition(max(1, -(-shards // SHARDS_A_TASK)), "shard").sortWithinPartitions("shard", "number")
     ordered.mapInArrow(run, f"key {key_type.simpleString()}, item int, words bigint, sure boolean, spans array<int>, held array<int>, phrases array<int>, texts array<int>").write.mode("overwrite").parquet(path)
 
 
