@@ -1,8 +1,9 @@
 """Schemas that drift along a log: a catalogue of every field's lifespan, the changes in it, and one table out of all shapes.
 
-Each message carries its own footer: its top-level field names and JSON types. Only messages whose footer differs
-from the one before are exploded (neighbours come from ``blocked``, so a partition is never one task); each starts a
-run of messages of one shape. Runs exploded into producer-field rows form islands: a field whose row has no row in
+Each message carries its own footer: its top-level field names and JSON types, read from the payload in one parse
+before anything is shuffled; only footers travel, not texts. Only messages whose footer differs from the one before
+are exploded; each starts a run of messages of one shape. All neighbours come from ``blocked``, so neither a partition
+nor a field of it is ever one task, even if every message changes its shape. Runs exploded into producer-field rows form islands: a field whose row has no row in
 the run before starts there (added), one without a row in the next run ends there (removed), one whose type differs
 from the last known type is retyped. A field that ends where another of the same quantity starts is renamed. The
 alias table says which names mean one quantity; names it does not know are compared by their words. The same table
@@ -15,7 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators.blocked import in_blocks, neighbour
+from tidelake.functions.parsing import json_fields
+from tidelake.operators.blocked import beside, in_blocks
 
 #: Names under which bar messages carry one quantity, the table's own name first.
 BAR_ALIASES = {
@@ -47,59 +49,47 @@ def quantity(name: Column, aliases: Mapping[str, list[str]]) -> Column:
 
 
 def footers(messages: DataFrame, producer: list[str], offset: str, payload: str, block: int = BLOCK) -> DataFrame:
-    """One row a message that is a JSON object: producer columns, offset, block, text and its shape as text.
-
-    Copies at one offset are one message. Rows with a null producer column, offset or payload are none. The texts are
-    shuffled once, into blocks; removing copies and finding neighbours happen within these."""
-    rows = messages.select(*producer, F.col(offset).alias("_offset"), F.col(payload).alias("_text")).dropna()
-    rows = in_blocks(rows, producer, "_offset", block).groupBy(*producer, "_block", "_offset").agg(F.min("_text").alias("_text"))
-    rows = rows.withColumn("_value", F.try_parse_json("_text")).filter("schema_of_variant(_value) like 'OBJECT%'")
-    number = r"\b(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))"
-    return rows.select(*producer, "_block", "_offset", "_text", F.regexp_replace(F.schema_of_variant("_value"), number, "NUMBER").alias("_shape"))
-
-
-def _fields(rows: DataFrame, keep: list[Column]) -> DataFrame:
-    """Explodes the footer: keep, field, kind (string, number, boolean, object, array or null for a null)."""
-    view = rows.withColumn("_value", F.try_parse_json("_text"))
-    out = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_value").outer()))
-    shape = F.schema_of_variant("value")
-    kind = (
-        F.when(shape == "VOID", F.lit(None).cast("string"))
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape.startswith("OBJECT"), "object")
-        .when(shape.startswith("ARRAY"), "array")
+    """One row a message that is a JSON object: producer columns, block, offset and footer (array of field and kind, by field).
+
+    kind is string, number, boolean, object, array, or null for a null. Copies at one offset are one message (of copies
+    that differ the least footer counts). Rows with a null producer column, offset or payload are none. A message with
+    one name twice is no JSON object."""
+    rows = messages.select(*producer, F.col(offset).alias("_offset"), F.try_parse_json(F.col(payload)).alias("_value")).dropna()
+    shape = F.schema_of_variant
+    kind = lambda v: (
+        F.when(shape(v) == "VOID", F.lit(None).cast("string"))
+        .when(shape(v) == "STRING", "string")
+        .when(shape(v) == "BOOLEAN", "boolean")
+        .when(shape(v).startswith("OBJECT"), "object")
+        .when(shape(v).startswith("ARRAY"), "array")
         .otherwise("number")
     )
-    return out.select(*keep, F.col("key").alias("field"), kind.alias("kind"))
+    fields = F.map_entries(F.try_variant_get("_value", "$", "map<string,variant>"))
+    rows = rows.select(*producer, "_offset", F.transform(fields, lambda e: F.struct(e["key"].alias("field"), kind(e["value"]).alias("kind"))).alias("_footer")).filter("_footer is not null")
+    return in_blocks(rows, producer, "_offset", block).groupBy(*producer, "_block", "_offset").agg(F.min("_footer").alias("_footer"))
 
 
 def runs(messages: DataFrame, producer: list[str], offset: str, payload: str, block: int = BLOCK) -> DataFrame:
-    """Messages that start a run of one shape: producer, _offset, _text, _run_before and _run_after (offsets of the runs beside it)."""
+    """Messages that start a run of one shape: producer, at, _footer, before and after (offsets of the runs beside it)."""
     feet = footers(messages, producer, offset, payload, block)
-    near = neighbour(feet, producer, "_offset", ["_shape"], block, "_prev")
-    starts = near.filter("_prev is null or _prev._shape <> _shape").select(*producer, "_offset", "_text")
-    along = Window.partitionBy(*producer).orderBy("_offset")
-    return starts.withColumns({"_run_before": F.lag("_offset").over(along), "_run_after": F.lead("_offset").over(along)})
+    near = beside(feet, producer, "_offset", ["_footer"], block, before="_prev")
+    starts = near.filter("_prev is null or not (_prev._footer <=> _footer)").select(*producer, F.col("_offset").alias("at"), "_footer")
+    out = beside(starts, producer, "at", [], block, before="_run_before", after="_run_after")
+    return out.select(*producer, "at", "_footer", F.col("_run_before.at").alias("before"), F.col("_run_after.at").alias("after"))
 
 
 def lifespans(messages: DataFrame, producer: list[str], offset: str, payload: str, block: int = BLOCK) -> DataFrame:
     """The catalogue: one row a producer, run and field: field, kind, starts, ends (the next run's offset, or null), retyped.
 
     starts and retyped are facts about the run's first message; ``first`` marks the producer's first run."""
-    rows = _fields(runs(messages, producer, offset, payload, block), [*[F.col(p) for p in producer], F.col("_offset").alias("at"), F.col("_run_before").alias("before"), F.col("_run_after").alias("after")])
-    own = Window.partitionBy(*producer, "field").orderBy("at")
-    rows = rows.withColumns({
-        "_prev": F.lag("at").over(own),
-        "_next": F.lead("at").over(own),
-        "_known": F.last("kind", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)),
-    })
-    here = F.col("_prev").eqNullSafe(F.col("before"))
+    rows = runs(messages, producer, offset, payload, block).select(*producer, "at", "before", "after", F.inline("_footer"))
+    rows = beside(rows, [*producer, "field"], "at", [], block, before="_prev", after="_next", known=("kind", "_known"))
+    here = F.col("_prev.at").eqNullSafe(F.col("before"))
     return rows.select(
         *producer, "field", "kind", "at",
         F.col("before").isNull().alias("first"),
         (~here).alias("starts"),
-        F.when(~F.col("_next").eqNullSafe(F.col("after")), F.col("after")).alias("ends"),
+        F.when(~F.col("_next.at").eqNullSafe(F.col("after")), F.col("after")).alias("ends"),
         (here & F.col("before").isNotNull() & F.col("kind").isNotNull() & F.col("_known").isNotNull() & (F.col("kind") != F.col("_known"))).alias("retyped"),
     )
 
@@ -130,13 +120,12 @@ def changes(messages: DataFrame, producer: list[str], offset: str, payload: str,
 def unify(messages: DataFrame, payload: str, columns: Mapping[str, str], aliases: Mapping[str, list[str]] = BAR_ALIASES) -> DataFrame:
     """All messages in one table: the input's columns plus ``columns`` (name: type), each read from whichever alias stands in the message and cast.
 
-    Timestamps are read from epoch milliseconds in text or number. What can't be cast, and every column of a message
+    One parse reads all aliases. Timestamps are read from epoch milliseconds in text or number. What can't be cast, and every column of a message
     that is no JSON object, is null. Clashing input columns give way to the read ones."""
-    value = F.try_parse_json(F.col(payload))
-    base = messages.withColumn("_value", value)
+    known = {name: [name, *aliases.get(name, [])] for name in columns}
+    base = messages.withColumn("_value", json_fields(F.col(payload), [a for names in known.values() for a in names]))
     out: dict[str, Column] = {}
     for name, kind in columns.items():
-        text = F.coalesce(*[F.try_variant_get("_value", f"$['{alias}']", "string") for alias in [name, *aliases.get(name, [])]])
-        text = F.nullif(F.trim(text), F.lit(""))
+        text = F.nullif(F.trim(F.coalesce(*[F.col("_value").getField(a) for a in known[name]])), F.lit(""))
         out[name] = F.timestamp_millis(text.try_cast("bigint")) if kind == "timestamp" else text.try_cast(kind)
     return base.withColumns(out).drop("_value")

@@ -122,37 +122,37 @@ PROFILED = {"processed_trades": ["price", "qty"], "processed_klines": ["volume"]
 
 
 def each_load(spark: SparkSession, d: str, build) -> DataFrame:
-    """build(value counts by symbol and UTC hour of ingest) of each profiled table, side by side, with table and column names."""
+    """build(rows, load keys, columns) of each profiled table, side by side, with table and column names. A load is a symbol and UTC hour of ingest."""
     out = None
     for name, columns in PROFILED.items():
         rows = table(spark, d, name)
         if name == "processed_klines":
             rows = rows.filter("interval = '1m'")
         rows = rows.withColumn("_hour", floor_to(F.unix_seconds(utc_timestamp(F.col("ingest_time"))), 3600)).filter("_hour is not null")
-        counts = column_profile.value_counts(rows, {"symbol": F.col("symbol"), "load_epoch": F.col("_hour")}, columns)
-        part = column_profile.named(build(counts), columns).withColumn("table_name", F.lit(name))
+        part = column_profile.named(build(rows, {"symbol": F.col("symbol"), "load_epoch": F.col("_hour")}, columns), columns).withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def profiles(counts: DataFrame) -> DataFrame:
-    return column_profile.profile(counts, ["symbol", "load_epoch"])
+def _profiles(spark: SparkSession):
+    return lambda rows, load, columns: column_profile.profile_loads(rows, load, columns, lambda label: scratch(spark, label))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of each column and load."""
-    return each_load(spark, d, profiles)
+    return each_load(spark, d, _profiles(spark))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Loads that stand out, by column."""
-    found = each_load(spark, d, lambda counts: column_profile.findings(profiles(counts), ["symbol"], "load_epoch", 3600))
+    profiled = _profiles(spark)
+    found = each_load(spark, d, lambda *load: column_profile.findings(profiled(*load), ["symbol"], "load_epoch", 3600))
     return found.select("table_name", "column_name", "symbol", "load_epoch", "finding")
 
 
 def p5_drift(spark: SparkSession, d: str) -> DataFrame:
     """Population stability index and chi-square of each load against the hour before."""
-    return each_load(spark, d, lambda counts: column_profile.drift(counts, ["symbol"], "load_epoch", 3600))
+    return each_load(spark, d, lambda *load: column_profile.drift(column_profile.value_counts(*load), ["symbol"], "load_epoch", 3600))
 
 
 def order_changes(spark: SparkSession, d: str) -> DataFrame:
