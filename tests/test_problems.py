@@ -97,6 +97,27 @@ def test_counts_against_brute_force(spark):
     assert {(r["symbol"], r["period_epoch"]): (r["counted"], r["diverted"]) for r in out.collect()} == {k: (want[k], late[k]) for k in {*want, *late}}
 
 
+def test_watermarks_settle_as_the_cut_off_does(spark, tmp_path):
+    rng = random.Random(2)
+    rows = []
+    for i in range(500):
+        t = rng.randrange(0, 60 * 3600)
+        for _ in range(rng.choice([1, 1, 2])):
+            rows.append((rng.choice(["x", "y", None]), i, None if rng.random() < 0.03 else at(t), None if rng.random() < 0.03 else at(min(t + rng.expovariate(1 / 12000), 63 * 3600) // 600 * 600), rng.choice(["a", "b", None])))
+    df = spark.createDataFrame(rows, "symbol string, id bigint, t timestamp, a timestamp, src string")
+    once = late_periods.first_arrivals(df, {"symbol": F.col("symbol"), "id": F.col("id")}, F.col("t"), F.col("a"), F.col("src"))
+    whole = late_periods.corrected(df, once, P, ["symbol"], F.col("a"), F.col("src"), f"file://{tmp_path}/w").collect()
+    plain = late_periods.aggregate(late_periods.assign(once, P, F.col("event_time"), F.col("arrival")), P, ["symbol"])
+    figures = lambda rs: {(r["symbol"], r["period_epoch"]): (r["counted"], r["diverted"]) for r in rs}
+    assert figures(whole) == figures(plain.collect()) and sum(r["diverted"] for r in whole) > 20
+    # while the input goes on, a period is in no row before every source has passed it or was excused
+    running = late_periods.corrected(df, once, P, ["symbol"], F.col("a"), F.col("src"), f"file://{tmp_path}/r", end_of_input=False).collect()
+    last = max(r[3] for r in rows if r[3])
+    assert 0 < len(running) < len(whole) and set(figures(running).items()) <= set(figures(whole).items())
+    assert all(at(r["period_epoch"] + 7 * 3600).replace(tzinfo=None) < r["closed_at"] <= last.replace(tzinfo=None) for r in running)
+    assert late_periods.corrected(df.limit(0), once.limit(0), P, ["symbol"], F.col("a"), F.col("src"), f"file://{tmp_path}/e").count() == 0
+
+
 def test_period_closes_with_its_last_source_or_the_timeout(spark):
     bound = 7 * 3600
     rows = [("a", at(100), at(200)), ("a", at(3700), at(bound + 60)), ("b", at(120), at(300)), ("b", at(3800), at(bound + 900)), ("a", at(30), at(bound + 9000)), ("b", at(40), at(bound + 9500))]

@@ -15,23 +15,23 @@ from tidelake.functions.parsing import floor_div
 
 
 def in_blocks(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
-    """Adds ``_block`` and partitions on it and the keys: later grouping by these and more, and beside(), shuffle no more."""
-    return df.withColumn("_block", floor_div(F.col(order), block)).repartition(*keys, "_block")
+    """Adds ``_block`` and partitions on it and the keys: later grouping by these and more, and beside(), shuffle no more. Rows with a null in either are left out."""
+    return df.withColumn("_block", floor_div(F.col(order), block)).dropna(subset=[*keys, "_block"]).repartition(*keys, "_block")
 
 
 def beside(df: DataFrame, keys: list[str], order: str, values: list[str], block: int, *, before: str | None = None, after: str | None = None, known: tuple[str, str] | None = None) -> DataFrame:
     """Adds, under the names given, a struct of order and values of the previous row of the series (before) and of the next (after), null at its ends.
 
     known: (column, name): the column's last value that is not null in any earlier row. Order must be a bigint without
-    nulls or ties inside a series, keys without nulls (rows with a null key have no neighbours across blocks).
-    ``block`` is a length in units of order; it changes the speed only, not the result. An empty input gives an empty
+    ties inside a series; rows with a null key or order are left out. ``block`` is a length in units of order; it changes the speed only, not the result. An empty input gives an empty
     result. A df that in_blocks() has partitioned is not shuffled again."""
     base = df if "_block" in df.columns else in_blocks(df, keys, order, block)
     by, item, place = [*keys, "_block"], F.struct(order, *values), F.col(order)
     inside, along = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*keys).orderBy("_block")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    # Reading every column here keeps both readers' exchanges alike, so that Spark makes it once.
-    edge = [F.max(F.xxhash64(*base.columns)).alias("_whole")]
+    # Both readers ask for every column, the rows in a condition that always holds: their exchanges are alike, and made once.
+    every = F.xxhash64(*base.columns)
+    edge = [F.max(every).alias("_whole")]
     near, across = {}, {}
     for name, ahead in ((before, False), (after, True)):
         if name:
@@ -42,9 +42,12 @@ def beside(df: DataFrame, keys: list[str], order: str, values: list[str], block:
         edge.append(F.max_by(F.col(known[0]), F.when(F.col(known[0]).isNotNull(), place)).alias("_e_known"))
         near[known[1]] = F.last(known[0], ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         across[known[1]] = F.last("_e_known", ignorenulls=True).over(earlier)
-    edges = base.groupBy(*by).agg(*edge).filter("_whole is not null").select(*by, *[c.alias(f"_x_{n}") for n, c in across.items()])
-    joined = base.withColumns({f"_n_{n}": c for n, c in near.items()}).join(edges, by, "left")
-    return joined.withColumns({n: F.coalesce(f"_n_{n}", f"_x_{n}") for n in near}).drop(*[f"_n_{n}" for n in near], *[f"_x_{n}" for n in near], "_block")
+    edges = base.groupBy(*by).agg(*edge).filter("_whole is not null").select(*[F.col(k).alias(f"_x{i}") for i, k in enumerate(by)], *[c.alias(f"_x_{n}") for n, c in across.items()])
+    same = every <= F.lit((1 << 63) - 1)
+    for i, k in enumerate(by):
+        same = same & (F.col(k) == F.col(f"_x{i}"))
+    joined = base.withColumns({f"_n_{n}": c for n, c in near.items()}).join(edges, same, "left")
+    return joined.withColumns({n: F.coalesce(f"_n_{n}", f"_x_{n}") for n in near}).select(*[c for c in base.columns if c != "_block"], *near)
 
 
 def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], block: int, name: str, ahead: bool = False) -> DataFrame:

@@ -12,15 +12,17 @@ from tidelake.session import scratch, table
 PERIODS = late_periods.Periods(period_s=3600, lateness_s=6 * 3600, idle_timeout_s=3600)
 
 
-def trades_by_period(spark: SparkSession, d: str) -> DataFrame:
+def corrected_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of each symbol and hour, counted or diverted by their source's watermark. The tables are whole: at their end every source has passed every hour."""
     trades = table(spark, d, "processed_trades")
-    once = late_periods.first_arrivals(trades, {"symbol": F.col("symbol"), "trade_id": F.col("trade_id")}, F.col("trade_time"), utc_timestamp(F.col("ingest_time")), F.concat_ws("-", "source_topic", "source_partition"))
-    return late_periods.assign(once, PERIODS, F.col("event_time"), F.col("arrival"))
+    arrival, source = utc_timestamp(F.col("ingest_time")), F.concat_ws("-", "source_topic", "source_partition")
+    once = late_periods.first_arrivals(trades, {"symbol": F.col("symbol"), "trade_id": F.col("trade_id")}, F.col("trade_time"), arrival, source)
+    return late_periods.corrected(trades, once, PERIODS, ["symbol"], arrival, source, scratch(spark, "late-periods"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Hours whose published trade count differs from the trades that arrived up to the cut-off."""
-    counted = late_periods.aggregate(trades_by_period(spark, d), PERIODS, ["symbol"]).select("symbol", F.col("period_epoch").alias("hour_epoch"), "counted", F.lit(None).cast("bigint").alias("published"))
+    counted = corrected_hours(spark, d).select("symbol", F.col("period_epoch").alias("hour_epoch"), "counted", F.lit(None).cast("bigint").alias("published"))
     hours = table(spark, d, "market_hourly_summary").select("symbol", F.unix_seconds(F.col("summary_hour").cast("timestamp")).alias("hour_epoch"), F.struct("updated_at", "trade_count").alias("version"))
     valid = hours.groupBy("symbol", "hour_epoch").agg(F.max("version").alias("version")).select("symbol", "hour_epoch", F.lit(None).cast("bigint").alias("counted"), F.col("version.trade_count").alias("published"))
     both = counted.unionByName(valid).groupBy("symbol", "hour_epoch").agg(F.coalesce(F.max("counted"), F.lit(0)).alias("counted"), F.coalesce(F.max("published"), F.lit(0)).alias("published"))
@@ -29,13 +31,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_corrected_hours(spark: SparkSession, d: str) -> DataFrame:
     """Counted and diverted trades of each symbol and hour of event time."""
-    return late_periods.aggregate(trades_by_period(spark, d), PERIODS, ["symbol"]).select("symbol", F.col("period_epoch").alias("hour_epoch"), "counted", "diverted")
+    return corrected_hours(spark, d).select("symbol", F.col("period_epoch").alias("hour_epoch"), "counted", "diverted")
 
 
 def p1_closings(spark: SparkSession, d: str) -> DataFrame:
-    """When each hour closed, and which sources were waited for."""
+    """When each hour closed, and how many sources were waited for and excused."""
     trades = table(spark, d, "processed_trades")
-    return late_periods.closings(trades, PERIODS, F.col("trade_time"), utc_timestamp(F.col("ingest_time")), F.concat_ws("-", "source_topic", "source_partition"))
+    out = late_periods.closings(trades, PERIODS, F.col("trade_time"), utc_timestamp(F.col("ingest_time")), F.concat_ws("-", "source_topic", "source_partition"))
+    return out.select(F.col("period_epoch").alias("hour_epoch"), F.unix_micros("closed_at").alias("closed_us"), "sources_passed", "sources_excused", "last_source")
 
 
 def raw_trade_ids(spark: SparkSession, d: str) -> DataFrame:
