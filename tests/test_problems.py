@@ -364,6 +364,18 @@ def test_runs_in_any_order_repeated_and_compacted(spark, tmp_path):
     assert now() == state_by_hand(rows + late)
 
 
+def test_blocks_of_a_k_way_merge_rise_and_hold_whole_keys():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    for _ in range(40):
+        runs = [sorted(rng.sample(range(60), rng.randrange(0, 40))) for _ in range(rng.randrange(1, 6))]
+        batches = lambda ks: iter([pa.record_batch({"k": pa.array(ks[i : i + 4], pa.int64())}) for i in range(0, len(ks), 4)])
+        blocks = [sorted(k for (k,) in keys) for _, keys in change_log.merge_runs([batches(r) for r in runs], ["k"])]
+        assert sorted(k for b in blocks for k in b) == sorted(k for r in runs for k in r)
+        assert all(a[-1] < b[0] for a, b in zip(blocks, blocks[1:], strict=False))
+
+
 def test_json_fields_take_whole_objects_only(spark):
     from tidelake.functions.parsing import json_fields
 
