@@ -163,6 +163,23 @@ def test_index_over_batches_and_replay(spark, tmp_path):
     second = batch([("A", 2, "z"), ("A", 3, "q"), ("B", 1, "r")])
     assert ins(second, 1) == ins(second, 1) == [("A", 3, "q"), ("B", 1, "r")]
     assert ins(batch([("A", 3, "k")]), 2) == []
+    index.compact()
+    fresh = index.insert(batch([("A", 3, "k"), (None, 3, "k"), ("A", 9, "k"), ("B", 2, "m"), ("B", None, "m")]), 3, F.col("s"), F.col("id"), [F.col("v")]).collect()
+    assert {(r["s"], r["id"]) for r in fresh} == {(None, 3), ("A", 9), ("B", 2)} and len(fresh) == 3
+    assert sorted((r["space"] or "", r["identifier"], r["n"]) for r in index.stored().collect()) == [("", 3, 1), ("A", 1, 1), ("A", 2, 1), ("A", 3, 1), ("A", 9, 1), ("B", 1, 1), ("B", 2, 1)]
+
+
+def test_stored_counts_of_identifiers(spark, tmp_path):
+    rows = [("A", 5), ("A", 5), ("B", 5), (None, 5), (None, 5), (None, 5), ("A", None), ("A", -(2**63)), ("A", 2**63 - 1)]
+    index = quotient_dedup.QuotientIndex(spark, f"file://{tmp_path}/ids")
+    assert index.stored().count() == 0
+    df = spark.createDataFrame(rows, "s string, id bigint").withColumn("n", F.lit("clash")).withColumn("space", F.lit("clash"))
+    index.count(df, "all", F.col("s"), F.col("id"))
+    want = Counter((s, i) for s, i in rows if i is not None)
+    assert {(r["space"], r["identifier"]): r["n"] for r in index.stored().collect()} == want
+    empty = quotient_dedup.QuotientIndex(spark, f"file://{tmp_path}/none")
+    empty.count(df.limit(0), "all", F.col("s"), F.col("id"))
+    assert empty.stored().count() == 0
 
 
 # 3 schema drift

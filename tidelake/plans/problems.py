@@ -51,10 +51,14 @@ def raw_trade_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Trades with more than one row, in the raw log and in the typed table."""
-    raw = quotient_dedup.occurrences(raw_trade_ids(spark, d), F.col("_symbol"), F.col("_trade_id")).withColumn("table_name", F.lit("raw_trades"))
-    typed = quotient_dedup.occurrences(table(spark, d, "processed_trades"), F.col("symbol"), F.col("trade_id")).withColumn("table_name", F.lit("processed_trades"))
-    return raw.unionByName(typed).filter("n > 1").select("table_name", F.col("space").alias("symbol"), F.col("identifier").alias("trade_id"))
+    """Trades with more than one row, in the raw log and in the typed table, as their stored quotient tables have them."""
+    out = None
+    for name, rows, symbol, trade in (("raw_trades", raw_trade_ids(spark, d), "_symbol", "_trade_id"), ("processed_trades", table(spark, d, "processed_trades"), "symbol", "trade_id")):
+        index = quotient_dedup.QuotientIndex(spark, scratch(spark, f"ids-{name}"))
+        index.count(rows, "all", F.col(symbol), F.col(trade))
+        part = index.stored().filter("n > 1").select(F.lit(name).alias("table_name"), F.col("space").alias("symbol"), F.col("identifier").alias("trade_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def p2_raw_once(spark: SparkSession, d: str) -> DataFrame:
