@@ -256,6 +256,41 @@ def test_occurrences(case):
     assert [f"{k} {text[a:b]}" for a, b, k in personal.Finder()(text)] == want
 
 
+#: Sentences that no test table holds: what must be found, in order.
+PLAIN = [
+    ("Please call Jonathan Harkwell tomorrow.", ["Jonathan Harkwell"]),
+    ("Maria Lopez", ["Maria Lopez"]),
+    ("My name is Peter Smith and I live here.", ["Peter Smith"]),
+    ("He moved to 12 Elm Drive, Springfield last May.", ["12 Elm Drive, Springfield"]),
+    ("Send it to 44 Baker Close, Leeds.", ["44 Baker Close, Leeds"]),
+    ("Customer: Aisha Rahman\nPhone: +44 20 7946 0958\nSSN: 123-45-6789", ["Aisha Rahman", "+44 20 7946 0958", "123-45-6789"]),
+    ("Dear Ms Okafor,\nthank you.\nKind regards, Tom Becker", ["Okafor", "Tom Becker"]),
+    ("Passport no. X1234567 was issued. Her passport number is 533401234.", ["X1234567", "533401234"]),
+    ("Der Vertrag kam von Frau Yilmaz; Mieter: Jonas Weber\nAnschrift: Hauptstraße 5, 10115 Berlin", ["Yilmaz", "Jonas Weber", "Hauptstraße 5, 10115 Berlin"]),
+    ("Mein Name ist Lukas Brandt, geboren 1980. Steuer-ID: 12345678901", ["Lukas Brandt", "12345678901"]),
+    ("Je m'appelle Claire Fontaine, j'habite 12 rue des Lilas, Lyon. Nom: x", ["Claire Fontaine", "12 rue des Lilas, Lyon"]),
+    ("Invoice no. 123456789 of Smith & Sons Ltd was paid by Robert Klein.", ["Robert Klein"]),
+    ("The bridge at Victoria Park was closed on 12.03.2020. IBAN DE89 3704 0044 0532 0130 00", []),
+    ("The witness said that Kwame Mensah lives in 9 Old Mill Lane, Bath.", ["Kwame Mensah", "9 Old Mill Lane, Bath"]),
+    ("Anna Müller and Dr. Heinz Vogel met Carlos Ruiz.", ["Anna Müller", "Heinz Vogel", "Carlos Ruiz"]),
+    (f"Write to {'x' * 300}@example.com soon.", [f"{'x' * 300}@example.com"]),
+    (f"{'The river rose again. ' * 40}The {'very ' * 60}old letter of {'N' + 'a' * 90} {'B' + 'e' * 90} Ltd.", []),
+]
+
+
+@pytest.mark.parametrize("case", range(len(PLAIN)))
+def test_sentences_outside_the_tables(case):
+    text, want = PLAIN[case]
+    assert [text[a:b] for a, b, _ in personal.Finder()(text)] == want
+
+
+def test_language_is_told_by_the_paragraph():
+    english = "The duty of the carrier is to deliver and to account to the owner of the goods, and that was the case. " * 9
+    french = "Le bail et la vente de la cour et les pièces de la ville sont dans les dossiers. M. Dupont a déposé la requête et le mémoire."
+    for text in (f"{english}\n\n{french}", f"{french}\n\n{english}"):
+        assert [text[a:b] for a, b, _ in personal.Finder()(text)] == ["Dupont"]
+
+
 def test_a_french_text_after_a_foreign_headnote():
     head = "The duty of the carrier is to deliver and to account to the owner of the goods. " * 50
     body = "Le bail et la vente de la cour et les pièces de la ville sont dans les dossiers de la mairie. " * 60
