@@ -98,6 +98,71 @@ def test_store_token_and_added_column(spark, tmp_path):
     assert [(r["id"], r["extra"]) for r in wider.read().orderBy("id").collect()] == [(1, None), (2, "x")]
 
 
+def test_store_deletes_by_position_and_folds_them(spark, tmp_path):
+    from tidelake.store import watched
+
+    t = Table(spark, f"file://{tmp_path}/t", SPEC)
+    rows = lambda *x: spark.createDataFrame([(i, d and ts(d), v) for i, d, v in x], "id bigint, day timestamp, v bigint")
+    t.append(rows(*[(i, f"2024-01-0{1 + i % 3}", i) for i in range(30)]))
+    t.append(rows((100, "2024-01-01", 1), (101, None, 1)))
+    paths = {p.path for p in t.parts()}
+    t.delete(F.col("id") < 4)
+    t.update(F.col("v") == 7, {"v": F.lit(70)})
+    t.delete(F.col("id") == 999)  # nothing to delete, nothing committed
+    assert paths < {p.path for p in t.parts()} and t.snapshots().count() == 4
+    want = sorted([(i, 70 if i == 7 else i) for i in range(4, 30)] + [(100, 1), (101, 1)])
+    assert got(t.read(), "id", "v") == want and got(t.read(snapshot=2), "id")[0] == (0,)
+    h = t.health().first()
+    assert h["position_delete_file_count"] >= 2 and h["delete_to_data_file_ratio"] == h["position_delete_file_count"] / h["data_file_count"] and h["manifest_count"] == 4
+    t.merge(rows((5, "2024-01-03", 500), (1, "2024-01-02", 10)))
+    want = sorted({**dict(want), 5: 500, 1: 10}.items())
+    assert got(t.read(), "id", "v") == want
+    assert t.manifests().agg(F.sum("delete_parts").alias("n")).first()["n"] == 2
+    lab = {r["stage"]: r for r in watched(t, {"fold": Table.fold_deletes, "manifests": Table.rewrite_manifests, "compact": lambda x: x.compact()}, lambda df: df.groupBy("day").count()).collect()}
+    assert lab["before"]["delete_files"] > 0 and lab["fold"]["delete_files"] == 0 and lab["manifests"]["manifests"] == 1 and lab["compact"]["data_files"] <= lab["before"]["data_files"]
+    assert got(t.read(), "id", "v") == want and t.compact() == 0
+    assert t.history(3).first()["operation"] in ("compact", "manifests")
+
+
+def test_store_compacts_by_size_and_keeps_tokens(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t", TableSpec("id bigint, day timestamp", days="day"))
+    for k in range(4):
+        t.append(spark.range(2000).select("id", F.lit(ts("2024-01-01") if k else ts("2024-01-02")).alias("day")).repartition(3), token=f"stream/{k}")
+    t.append(spark.range(1).select("id", F.lit(ts("2024-01-03")).alias("day")), token="whole")
+    untouched = {p.path for p in t.parts() if p.day == "2024-01-03"}
+    size = sum(f["file_size_in_bytes"] for f in t.files().collect() if "2024-01-01" in f["file_path"])
+    t.compact(size // 2)
+    files = [f["file_path"] for f in t.files().collect()]
+    assert t.read().count() == 8001 and 2 <= sum("2024-01-01" in f for f in files) <= 3 and untouched <= {p.path for p in t.parts()}
+    assert t.expire(2**60, keep_last=1) == 5
+    for token in ("stream/0", "stream/3", "whole"):
+        t.append(spark.range(5).select("id", F.lit(None).cast("timestamp").alias("day")), token=token)
+    assert t.read().count() == 8001
+    t.append(spark.range(5).select("id", F.lit(None).cast("timestamp").alias("day")), token="stream/4")
+    assert t.read().count() == 8006
+    t.delete(F.col("id") == 0)  # an append table: the folders with such rows are rewritten
+    assert t.read().count() == 8006 - 6 and t.health().first()["position_delete_file_count"] == 0
+
+
+def test_catalog_and_health_summary(spark, tmp_path):
+    from tidelake.store import Catalog, health_summary
+
+    c = Catalog(spark, f"file://{tmp_path}/lake")
+    assert c.namespaces() == []
+    c.create_namespace("gold")
+    c.create_namespace("gold")
+    t = c.table("gold.orders", TABLES["processed_orders"])
+    assert c.namespaces() == ["gold"] and c.tables("gold") == ["orders"]
+    assert dict(got(c.properties("gold.orders"), "key", "value"))["mode"] == "upsert"
+    broken = Table(spark, f"file://{tmp_path}/b", SPEC)
+    broken._put("log/000000000001.json", {"id": 1, "manifests": ["gone.json"]})
+    failed = []
+    out = health_summary({"orders": t, "broken": broken}, "r1", lambda name, _: failed.append(name))
+    assert failed == ["broken"] and got(out, "table_name", "data_file_count", "delete_to_data_file_ratio") == [("orders", 0, 0.0)]
+    assert set(out.columns) == {f.name for f in TABLES["table_health_summary"].schema.fields}
+    assert c.drop("gold.orders") and c.tables("gold") == []
+
+
 def test_lifecycle_ties_late_events_and_policies(spark):
     ev = lambda *x: spark.createDataFrame([(o, s, ts(t), n, c) for o, s, t, n, c in x], "order_id string, order_status string, event_time timestamp, source_offset bigint, client_id string")
     rows = ev(("a", "FILLED", "2024-01-01 02:00", 1, "c"), ("a", "NEW", "2024-01-01 01:00", 2, "c"), ("b", "PARTIALLY_FILLED", "2024-01-01 03:00", 9, "c"), ("b", "FILLED", "2024-01-01 03:00", 1, "c"), ("c", "PARTIALLY_FILLED", "2024-01-01 01:00", 1, "c"), ("c", "CANCELED", "2024-01-01 02:00", 2, "c"))
