@@ -352,7 +352,7 @@ def test_period_stream_closes_diverts_and_replays(spark, tmp_path):
         [("x", at(110), at(301), "b", 1.0), ("y", at(119), at(119), "c", 1.0)],  # c is behind, and idle
         [("x", at(15), at(118), "b", 8.0), ("z", at(400), at(900), "a", 1.0)],  # arrives in bound, but the period is closed
     ]
-    p = PeriodStream(spark, f"file://{tmp_path}/s", Periods(60, 120, 180), key="k", event_time="t", arrival="a", source="s", value="v")
+    p = PeriodStream(spark, f"file://{tmp_path}/s", Periods(60, 120, 121), key="k", event_time="t", arrival="a", source="s", value="v")
     frames = [spark.createDataFrame(b, "k string, t timestamp, a timestamp, s string, v double") for b in batches]
     for n, f in enumerate(frames):
         f.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
@@ -363,7 +363,7 @@ def test_period_stream_closes_diverts_and_replays(spark, tmp_path):
     out = got(p.final.read(), "item", "n", "total", "period_epoch")
     assert [(i, n, t, e - base) for i, n, t, e in out] == [("x", 3, 7.0, 0), ("y", 2, 2.0, 60)]
     assert got(p.diverted.read(), "item", "reason") == [("x", "passed by its source"), ("x", "passed by its source"), ("x", "period closed"), ("z", "passed by its source")]
-    again = PeriodStream(spark, f"file://{tmp_path}/s2", Periods(60, 120, 180), key="k", event_time="t", arrival="a", source="s", value="v")
+    again = PeriodStream(spark, f"file://{tmp_path}/s2", Periods(60, 120, 121), key="k", event_time="t", arrival="a", source="s", value="v")
     stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     again.start(stream, str(tmp_path / "c")).awaitTermination()
     total = again.final.read().agg(F.sum("n").alias("n")).first()["n"] + again.diverted.read().count()
@@ -401,8 +401,10 @@ def test_sinks(spark, tmp_path):
     assert got(writers.as_messages(df, F.col("k"), ["k", "v"]), "key", "value") == [("a|x", '{"k":"a|x"}'), ("b", '{"k":"b","v":2}')]
     writers.one_csv(df, str(tmp_path / "csv"), ["k"])
     assert len(list((tmp_path / "csv").glob("*.csv"))) == 1
-    with pytest.raises(ValueError):
-        writers.one_csv(df, str(tmp_path / "csv2"), ["k"], most_rows=1)
+    many = spark.createDataFrame([(k % 7, k) for k in range(100)], "k int, v int")
+    assert writers.one_csv(many, str(tmp_path / "csv2"), ["k"], most_rows=30) == 4
+    files = sorted((tmp_path / "csv2").glob("*.csv"))
+    assert [int(x.split(",")[0]) for f in files for x in f.read_text().splitlines()[1:]] == sorted(k % 7 for k in range(100)) and len(files) > 1
     writers.append_log(df, str(tmp_path / "log"))
     writers.external_table(spark, "log_table", "k string, v int", str(tmp_path / "log"), "ingest_date")
     assert spark.table("log_table").filter("ingest_date = '2024-01-01'").first()["k"] == "b"

@@ -94,7 +94,7 @@ ORACLES = {
   union all select table_name, column_name, symbol, load_epoch, 'dominant_value' from big where vals >= 20 and n_top * 10 > vals * 4
   union all select b.table_name, b.column_name, b.symbol, b.load_epoch, 'median_shift' from big b join big p on b.table_name = p.table_name and b.column_name = p.column_name and b.symbol = p.symbol and p.load_epoch + 3600 = b.load_epoch
     where b.vals >= 20 and p.vals >= 20 and b.median > 0 and p.median > 0 and greatest(b.median, p.median) > 5 * least(b.median, p.median)""",
-    "p5_profile_counts": f"""with {_LOADS} select table_name, column_name, symbol, load_epoch, n_rows, nulls, nonpositive, n_distinct, n_top, round(median, 6) median from loads""",
+    "p5_profile_counts": f"""with {_LOADS} select table_name, column_name, symbol, load_epoch, n_rows, nulls, nonpositive, n_distinct, n_top, round(median, 9) median from loads""",
     "p6_orders_values": f"""with {_STATUS_ALL}, state as (select order_id, max(rn) last_rn, coalesce(max(rn) filter (st = 'NEW'), 0) born, coalesce(max(rn) filter (st = 'DELETED'), 0) dead from ranked group by 1)
   select r.order_id, r.st order_status, r.event_ms, client_id, symbol, side, order_type, cast(order_price as double) order_price, cast(order_qty as double) order_qty, cast(filled_qty as double) filled_qty, cast(avg_fill_price as double) avg_fill_price, source_offset
   from state s join ranked r on s.order_id = r.order_id and s.last_rn = r.rn where dead = 0 or born > dead""",

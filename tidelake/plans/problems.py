@@ -193,7 +193,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_profile_counts(spark: SparkSession, d: str) -> DataFrame:
     """The countable part of the profile."""
-    return p5_profile(spark, d).select("table_name", "column_name", "symbol", "load_epoch", F.col("rows").alias("n_rows"), "nulls", "nonpositive", F.col("distinct").alias("n_distinct"), F.col("top").alias("n_top"), F.round("median", 6).alias("median"))
+    return p5_profile(spark, d).select("table_name", "column_name", "symbol", "load_epoch", F.col("rows").alias("n_rows"), "nulls", "nonpositive", F.col("distinct").alias("n_distinct"), F.col("top").alias("n_top"), F.round("median", 9).alias("median"))
 
 
 def p6_orders_values(spark: SparkSession, d: str) -> DataFrame:

@@ -18,12 +18,19 @@ def to_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("topic", topic).save()
 
 
-def one_csv(df: DataFrame, path: str, order: list[str], most_rows: int = 5_000_000) -> None:
-    """One CSV file with header, in order: for exports of checked size (a larger one is refused, since one task writes it)."""
-    rows = df.limit(most_rows + 1).count()
-    if rows > most_rows:
-        raise ValueError(f"more than {most_rows} rows: write a folder of files instead")
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def one_csv(df: DataFrame, path: str, order: list[str], most_rows: int = 5_000_000) -> int:
+    """CSV with header, in order: one file up to most_rows rows, else as many files as that takes, whose names are in order too. Gives their number.
+
+    Rows alike in ``order`` may be split between neighbouring files; every file is written by a task of its own."""
+    rows = df.count()
+    parts = max(1, -(-rows // most_rows))
+    if parts == 1:
+        spread = df.orderBy(*order).coalesce(1)
+    else:
+        rest = [c for c in df.columns if c not in order]
+        spread = df.repartitionByRange(parts, *order, *([F.xxhash64(*rest)] if rest else [])).sortWithinPartitions(*order)
+    spread.write.mode("overwrite").option("header", True).csv(path)
+    return parts
 
 
 def append_log(df: DataFrame, path: str, partition: str = "ingest_date") -> None:
@@ -37,11 +44,20 @@ def gap_report(coverage: DataFrame, missing: DataFrame, path: str, most_symbols:
     worst = coverage.filter("missing > 0").orderBy(F.col("missing").desc(), "symbol").limit(most_symbols).collect()  # the feature: a top list
     first = missing.agg(F.date_format(F.min("missing_hour"), "yyyy-MM-dd HH:mm:ss").alias("h")).first()["h"]
     out = {"gap_count": total["n"], "symbols_with_gaps": total["s"], "earliest_gap": first, "by_symbol": {r["symbol"]: r["missing"] for r in worst}}
-    with open(path, "w") as f:
-        json.dump(out, f)
+    write_text(coverage.sparkSession, path, json.dumps(out))
     return out
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, wherever Spark's file systems reach."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def external_table(spark: SparkSession, name: str, schema: str, path: str, partition: str | None = None) -> None:
     """Declares a table over existing Parquet files, and finds its partitions."""
     names = [c.split()[0] for c in schema.split(",")]

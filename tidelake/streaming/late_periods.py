@@ -47,13 +47,10 @@ class PeriodStream:
             rows.unpersist()
 
     def passed(self) -> int | None:
-        """The last period that every source has passed. A source more than the idle timeout behind the furthest one is not waited for."""
+        """The last period that may close: every source has passed it, or the furthest stamp lies the idle timeout past its bound. The same as late_periods.closing_times()."""
         at = self.marks.read().groupBy("source").agg(F.max("arrival_us").alias("a"))
-        now = at.agg(F.max("a").alias("now")).first()["now"]
-        if now is None:
-            return None
-        awake = at.filter(F.col("a") >= now - self.periods.idle_timeout_s * US)
-        return awake.agg(F.min(self.periods.passed(F.col("a"))).alias("p")).first()["p"]
+        by_all, by_time = self.periods.passed(F.col("least")), self.periods.passed(F.col("now") - self.periods.idle_timeout_s * US + 1)
+        return at.agg(F.min("a").alias("least"), F.max("a").alias("now")).select(F.greatest(by_all, by_time).alias("p")).first()["p"]
 
     def _close(self, token: str) -> None:
         upto = self.passed()
