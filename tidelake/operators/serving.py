@@ -92,9 +92,12 @@ def orders_by_hour(orders: DataFrame) -> DataFrame:
     )
 
 
-def execution_hourly(orders: DataFrame, market: DataFrame) -> DataFrame:
-    """orders_by_hour beside the market's volume-weighted price of the hour, with the distance to it in basis points by side."""
-    joined = orders_by_hour(orders).join(market.select(*KEYS, F.col("vwap").alias("benchmark_vwap")), KEYS, "left")
+def execution_hourly(orders: DataFrame, market: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """orders_by_hour beside the market's volume-weighted price of the hour, with the distance to it in basis points by side; with keys only for these hours, each in a row."""
+    hours = orders_by_hour(orders)
+    if keys is not None:
+        hours = keys.join(hours, KEYS, "left")
+    joined = hours.join(market.select(*KEYS, F.col("vwap").alias("benchmark_vwap")), KEYS, "left")
     v, buy, sell = (F.col(c).cast("double") for c in ("benchmark_vwap", "avg_buy_fill_price", "avg_sell_fill_price"))
     cost = F.coalesce((buy - v) * F.col("buy_filled_qty").cast("double"), F.lit(0.0)) + F.coalesce((v - sell) * F.col("sell_filled_qty").cast("double"), F.lit(0.0))
     return joined.withColumns({
