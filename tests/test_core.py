@@ -415,3 +415,156 @@ def test_sinks(spark, tmp_path):
     hours = spark.createDataFrame([("x", ts("2024-01-01 00:00")), ("x", ts("2024-01-01 03:00"))], "s string, h timestamp")
     report = writers.gap_report(gaps.coverage(hours, "s", "h"), gaps.missing_hours(hours, "s", "h"), str(tmp_path / "g.json"))
     assert report == {"gap_count": 2, "symbols_with_gaps": 1, "earliest_gap": "2024-01-01 01:00:00", "by_symbol": {"x": 2}}
+
+
+# scan, synthetic feed, replay
+
+
+def test_scan_runs_its_rules_and_persists(spark, tmp_path):
+    from tidelake.operators import scan
+
+    rows = [("x", 1, 10, "5", "1", "r1"), ("x", 2, 20, "0", "1", "r1"), ("x", 9, 15, None, "1", "r1"), ("y", 4, 1, "5", "1", "r2")]
+    df = spark.createDataFrame(rows, "symbol string, trade_id bigint, produce_ts bigint, price string, qty string, run_id string")
+    lags = spark.createDataFrame([("a", 20_000, "r1"), ("b", 1, "r1"), ("a", 1, "r2")], "config_label string, lag_ms bigint, run_id string")
+    found = scan.scan(df, "t", scan.STREAM, lags, "r1")
+    assert got(found, "check_name", "severity", "dimension", "observed") == [
+        ("FRESHNESS_SLA", "CRITICAL", "a", 20000.0), ("GAP", "CRITICAL", "x", 6.0), ("NULL_OR_ZERO", "CRITICAL", "t.price", 2.0), ("ORDER_REVERSAL", "WARN", "x", 1.0), ("SCHEMA_DRIFT", "CRITICAL", "t.trade_id", 1.0),
+    ]
+    assert scan.of_run(df.drop("run_id"), "r1").count() == 4 and scan.of_run(df, None).count() == 4 and scan.of_run(df, "r2").count() == 1
+    target = Table(spark, f"file://{tmp_path}/events", TABLES["quality_events"])
+    assert scan.run(df, "t", scan.STREAM, target, "r1", lags=lags) == 5 and scan.run(df, "t", scan.STREAM, target, "r1", lags=lags) == 0
+    clean = scan.ScanConfig(freshness="", fields=("qty",), order="produce_ts")
+    assert scan.run(df.filter("symbol = 'y'"), "t", clean, target, "r2") == 0 and target.read().count() == 5 and target.snapshots().count() == 1
+    at = dt.datetime(2024, 1, 1, 1, tzinfo=dt.timezone.utc)
+    times = spark.createDataFrame([("x", ts("2024-01-01 00:10:00")), ("x", ts("2024-01-01 00:50:00")), ("y", None)], "s string, t timestamp")
+    assert got(scan.ages(times, "s", "t", F.lit(at)).fillna(-1), "dimension", "age_ms") == [("x", 600_000), ("y", -1)]
+
+
+def test_checks_by_day(spark):
+    df = spark.createDataFrame([("a", ts("2024-01-01 03:00")), ("a", ts("2024-01-01 04:00")), (None, ts("2024-01-02")), ("b", None)], "k string, t timestamp")
+    out = [(r["run_id"], r["row_count"], r["null_count"], r["duplicate_count"], r["check_status"]) for r in quality.checks_by_day(df, "t", ["k"], ["k"], "t").orderBy("run_id").collect()]
+    assert out == [("daily-2024-01-01", 2, 0, 1, "FAIL"), ("daily-2024-01-02", 1, 1, 1, "FAIL")]
+    assert quality.checks_by_day(df.limit(0), "t", ["k"], ["k"], "t").count() == 0
+
+
+def test_webhook_posts_json():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    heard = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            heard.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    event = {"severity": "WARN", "check_name": "GAP", "dimension": "x", "detail": "d"}
+    assert quality.send_alert([event], quality.webhook(f"http://127.0.0.1:{server.server_port}"))["sent"]
+    assert "GAP" in heard[0]["text"]
+    assert not quality.send_alert([event], quality.webhook("http://127.0.0.1:1", 0.2))["sent"]
+
+
+def test_synthetic_feed(spark):
+    from tidelake.operators import simulate
+
+    feed = simulate.Feed(seed=3)
+    with pytest.raises(ValueError):
+        simulate.in_window(spark, 5, 0, 15_000, feed, 100.0)
+    orders = simulate.in_window(spark, 2000, 1_000_000, 2_000_000, feed, 100.0)
+    out = simulate.events(orders, " btcusdt ", feed)
+    rows = [r.asDict() for r in out.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, (r.asDict() for r in simulate.events(orders.repartition(7), "BTCUSDT", feed).collect())))
+    by = {}
+    for r in rows:
+        by.setdefault(r["order_id"], []).append(r)
+    assert len(by) == 2000 and min(by) == "OS00000000" and {r["symbol"] for r in rows} == {"BTCUSDT"}
+    for es in by.values():
+        es.sort(key=lambda r: (r["event_time"], {"NEW": 0, "PARTIALLY_FILLED": 1}.get(r["order_status"], 2)))
+        first, last = es[0], es[-1]
+        assert first["order_status"] == "NEW" and first["filled_qty"] == 0 and first["avg_fill_price"] is None and last["order_status"] in ("FILLED", "CANCELED")
+        assert 3000 <= (last["event_time"] - first["event_time"]).total_seconds() * 1000 <= 15000 and 99.69 < float(first["order_price"]) < 100.31
+        part = [e["filled_qty"] for e in es if e["order_status"] == "PARTIALLY_FILLED"]
+        assert last["filled_qty"] == (first["order_qty"] if last["order_status"] == "FILLED" else part[0] if part else 0)
+    shares = [sum(e["order_status"] == s for e in rows) / 2000 for s in ("PARTIALLY_FILLED", "CANCELED")]
+    assert abs(shares[0] - 0.45) < 0.05 and abs(shares[1] - 0.25) < 0.05
+    anchors = spark.createDataFrame([(0, 50.0, 1.0), (60_000, 60.0, 99.0), (120_000, 0.0, 5.0), (180_000, 9.0, None)], "open_time_ms bigint, close double, volume double")
+    drawn = simulate.anchored(anchors, 500, feed).collect()
+    assert sum(r["reference"] == 60.0 for r in drawn) > 470 and all(0 <= r["base_ms"] < 120_000 for r in drawn)
+    linked = spark.range(1).select(simulate.linked(0.5, F.lit(4.0), True).alias("a"), simulate.linked(0.5, F.lit(4.0), False).alias("b"), simulate.linked(0.5, F.lit(None).cast("double"), True).alias("c"), simulate.linked(0.5, F.lit(0.0), False).alias("d")).first()
+    assert tuple(linked) == (1.0, 0.125, 0.5, 1.0)
+
+
+def test_replay_and_reconnecting(spark):
+    from tidelake.streaming import replay
+
+    df = spark.createDataFrame([(str(k), (k * 37) % 101) for k in range(101)] + [(None, None)], "id string, t bigint")
+    assert replay.replay_records(df, ["id", "t"], F.lit(5)).count() == 101
+    assert json.loads(replay.replay_records(df, ["id", "t"], F.lit(5)).first()["value"])["source"] == "replay"
+    placed = replay.schedule(df.dropna(), [F.col("t")], rate=200.0, blocks=8).orderBy("t").collect()
+    assert [r["no"] for r in placed] == list(range(101)) and placed[100]["due_ms"] == 500 and placed[11]["slice"] == 1
+    with pytest.raises(ValueError):
+        replay.schedule(df, [F.col("t")], rate=0)
+    now, sent = [0.0], []
+
+    def sleep(s):
+        now[0] += s
+
+    def send(k):
+        sent.append((k, round(now[0], 3)))
+        now[0] += 2.0 if k == 2 else 0.01
+
+    assert replay.pace(iter(range(5)), send, 50, clock=lambda: now[0], sleep=sleep) == 1
+    assert sent == [(0, 0.0), (1, 0.05), (2, 0.1), (3, 2.1), (4, 2.15)]
+    tries, waits = [], []
+
+    def connect():
+        tries.append(1)
+        yield f"m{len(tries)}"
+        if len(tries) < 3:
+            raise OSError("gone")
+
+    assert list(replay.reconnecting(connect, waits.append, rand=lambda: 0.0)) == ["m1", "m2", "m3"] and waits == [1.0, 1.0]
+    assert [replay.backoff(n, rand=lambda: 1.0) for n in (0, 3, 20)] == [1.25, 10.0, 75.0]
+
+    def never():
+        raise OSError("no")
+        yield
+
+    with pytest.raises(OSError):
+        list(replay.reconnecting(never, waits.append, most_attempts=3))
+
+
+def test_more_sources(spark, tmp_path):
+    for m in ("2024-01", "2024-03"):
+        (tmp_path / f"t-{m}.csv").write_text("1,2,3,4,5,True,True\n1,2\n")
+    months = readers.monthly(spark, f"{tmp_path}/t-{{month}}.csv", "2023-12", "2024-03", readers.TRADE_CSV)
+    assert months.count() == 2 and readers.monthly(spark, f"{tmp_path}/u-{{month}}.csv", "2023-12", "2024-03", readers.TRADE_CSV) is None
+    path = str(tmp_path / "t-2024-01.csv")
+    assert readers.first_rows(spark, path, readers.TRADE_CSV, 0).count() == 0 and readers.first_rows(spark, path, readers.TRADE_CSV, None).count() == 1
+    import hashlib
+
+    assert readers.digest(spark, path).first()["sha256"] == hashlib.sha256((tmp_path / "t-2024-01.csv").read_bytes()).hexdigest()
+    bars = spark.createDataFrame([("x", "1m", ts(f"2024-01-01 00:0{k}"), 1.0, None if k == 3 else 1.0) for k in range(5)] + [("y", "1m", ts("2024-01-01 00:01"), 1.0, 1.0)], "symbol string, interval string, open_time timestamp, close double, volume double")
+    assert readers.bars_of(bars, "x", "1m").count() == 4 and readers.bars_of(bars, "x", "1m", "2024-01-01 00:01", "2024-01-01 00:04").count() == 2
+    config = {"symbols": ["btcusdt ", "ETHUSDT", "", "adausdt"], "shards": 2}
+    assert sorted(readers.symbols_of(config, 0) + readers.symbols_of(config, 1)) == readers.symbols_of(config) == ["ADAUSDT", "BTCUSDT", "ETHUSDT"]
+    assert readers.only(bars, ["y"]).count() == 1
+    for bad in (({"symbols": []}, None), ({"symbols": ["a"], "shards": 1}, 1)):
+        with pytest.raises(ValueError):
+            readers.symbols_of(*bad)
+
+
+def test_timed_stream(spark, tmp_path):
+    from tidelake.streaming import replay
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    start = lambda trigger, name: spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: None).option("checkpointLocation", str(tmp_path / name)).trigger(**trigger).start()
+    assert replay.timed(start({"availableNow": True}, "a"), 60)
+    running = start({"processingTime": "1 second"}, "b")
+    assert not replay.timed(running, 1.5) and not running.isActive

@@ -131,7 +131,7 @@ def closing_times(seen: DataFrame, watermarks: DataFrame, periods: Periods, end_
     # A mark speaks for the periods after the source's previous one, as far back as the timeout lets it.
     reach = F.greatest(F.coalesce(before + 1, F.col("mark")), F.col("mark") - (idle // step + 1))
     each = watermarks.withColumn("reach", reach).withColumn("period", F.explode(F.sequence("reach", "mark"))).filter(F.col("at") - periods.bound_us(F.col("period")) <= idle)
-    passes = each.groupBy("period").agg(F.max("at").alias("at"), F.count("*").alias("passed"), F.max_by("name", "at").alias("last"))
+    passes = each.groupBy("period").agg(F.max("at").alias("at"), F.count("*").alias("passed"), F.max_by("name", F.struct("at", "name")).alias("last"))
     totals = watermarks.agg(F.countDistinct("source").alias("sources"), F.max("at").alias("now"))
     excused = F.coalesce(F.col("sources") - F.coalesce("passed", F.lit(0)), F.lit(0))
     closed = F.greatest(F.col("at"), F.when(excused > 0, periods.bound_us(F.col("period")) + idle))

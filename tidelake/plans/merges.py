@@ -240,6 +240,8 @@ _EXEC = lambda source: f"""with {reference._ORDERS}, {_PUBLISHED}, was_hours as
 
 ORACLES = {
     "staging_klines_merge": f"with {_BARS}, {_PICK('was', f'(select * from bars where {_PRE()})', _BAR_PART, _STAGE)}, {_PICK('fresh', f'(select * from bars where {_IN()})', _BAR_PART, _STAGE)} {_overwrite('was', 'fresh', _BK)}",
+    "staged_bars": f"with {_BARS}, {_PICK('best', 'bars', _BAR_PART, _STAGE)} select symbol, kline_interval, open_time // 1000 open_time, is_closed, source_offset, \"open\", \"close\" from best",
+    "kline_upsert": f"with {_BARS}, {_PICK('source', 'bars', _BAR_PART, _LAST)}, {_CURRENT}, merged as ({_guarded('current_rows', 'source', _BK, _BAR_COLUMNS, 's.source_offset >= t.source_offset')}) select symbol, kline_interval, cast(floor(open_time / 1000.0) as bigint) open_time, source_offset from merged",
     "klines_affected": f"with {_BARS}, {_TOUCHED} select * from touched",
     "klines_window_merge": f"with {_BARS}, {_TOUCHED}, {_PICK('source', 'touched', _BAR_PART, _LAST)}, {_CURRENT} {_guarded('current_rows', 'source', _BK, _BAR_COLUMNS, 's.source_offset >= t.source_offset')}",
     "klines_full_merge": f"with {_BARS}, {_PICK('source', 'bars', _BAR_PART, _LAST)}, {_CURRENT} {_guarded('current_rows', 'source', _BK, _BAR_COLUMNS, 's.source_offset >= t.source_offset', {'ingest_time': ('null', 't.ingest_time')})}",

@@ -73,6 +73,22 @@ ORACLES = {
   published as (select symbol, cast(epoch(summary_hour) as bigint) hour_epoch, arg_max(coalesce(trade_count, 0), updated_at) n from market_hourly_summary group by 1, 2)
   select coalesce(c.symbol, p.symbol) symbol, coalesce(c.hour_epoch, p.hour_epoch) hour_epoch from counted c full join published p on c.symbol = p.symbol and c.hour_epoch = p.hour_epoch where coalesce(c.n, 0) <> coalesce(p.n, 0)""",
     "p1_corrected_hours": f"""with {COUNTED} select symbol, hour_epoch, count(*) filter (a <= (hour_epoch + 25200) * 1000000) counted, count(*) filter (a > (hour_epoch + 25200) * 1000000) diverted from placed group by 1, 2""",
+    "p1_closings": f"""with stamps as (select distinct concat_ws('-', source_topic, source_partition) s, epoch_us({_ingest()}) a from processed_trades where {_ingest()} is not null),
+  hours as (select distinct cast(floor(epoch_us(trade_time) / 3600000000.0) as bigint) * 3600 h from processed_trades where trade_time is not null and {_ingest()} is not null),
+  sources as (select distinct s from stamps), bounds as (select h, (h + 25200) * 1000000 b from hours),
+  first_after as (select b.h, b.b, s.s, (select min(a) from stamps x where x.s = s.s and x.a > b.b) a from bounds b cross join sources s),
+  by_hour as (select h, b, count(*) n, count(*) filter (a - b <= 3600000000) passed, max(a) filter (a - b <= 3600000000) latest, arg_max(s, {{'a': a, 's': s}}) filter (a - b <= 3600000000) last_source from first_after group by 1, 2),
+  closed as (select *, case when passed < n then greatest(coalesce(latest, b + 3600000000), b + 3600000000) else latest end c from by_hour)
+  select h hour_epoch, case when c <= (select max(a) from stamps) then c end closed_us, passed sources_passed, n - passed sources_excused, last_source from closed""",
+    "p4_grid": """with steps as (select symbol, "interval" kline_interval, epoch_us(open_time) t, source_offset o, epoch_us(updated_at) u, cast("close" as double) v,
+    cast(regexp_extract("interval", '^[0-9]+') as bigint) * case right("interval", 1) when 'm' then 60 when 'h' then 3600 when 'd' then 86400 when 's' then 1 end * 1000000 w from processed_klines where symbol is not null and open_time is not null and "interval" is not null),
+  once as (select * exclude (rn) from (select *, row_number() over (partition by symbol, kline_interval, t order by o desc nulls last, u desc nulls last, v desc nulls last) rn from steps) where rn = 1),
+  held as (select *, cast(floor(t / w::double) as bigint) * w own, lead(t) over (partition by symbol, kline_interval order by t) nxt from once),
+  ended as (select *, case when nxt is not null and cast(floor(nxt / w::double) as bigint) * w - own <= 86400000000 then nxt else own + w end e from held),
+  cells as (select *, unnest(generate_series(own, cast(floor(greatest(e - 1, t) / w::double) as bigint) * w, w)) cell from ended),
+  parts as (select *, least(e, cell + w) - greatest(t, cell) len, greatest(least(e, cell + w, t + w) - greatest(t, cell), 0) fresh from cells)
+  select symbol, kline_interval, cast(cell // 1000000 as bigint) slot_epoch, cast(count(*) filter (cell = own) as bigint) readings, round(sum(len * v) / nullif(sum(len) filter (v is not null), 0) + 1e-9, 6) mean, round(sum(fresh) / any_value(w) + 1e-9, 6) coverage,
+    case when count(*) filter (cell = own) > 0 then 'observed' else 'filled' end marked from parts group by symbol, kline_interval, w, cell""",
     "p2_found": """with typed as (select 'processed_trades' table_name, symbol, trade_id from processed_trades where trade_id is not null),
   ok as (select message_key k, cast(message_value as json) j from raw_trades where json_valid(message_value)),
   raw as (select 'raw_trades' table_name, coalesce(nullif(upper(trim(j->>'symbol')), ''), nullif(upper(trim(k)), '')) symbol, try_cast(trim(j->>'trade_id') as bigint) trade_id from ok where json_type(j) = 'OBJECT')

@@ -112,16 +112,21 @@ def p3_bars_values(spark: SparkSession, d: str) -> DataFrame:
 SILENCE_S = 24 * 3600
 
 
-def p4_grid(spark: SparkSession, d: str) -> DataFrame:
+def grid(spark: SparkSession, d: str) -> DataFrame:
     """Every slot of every series of bars: readings, time-weighted close, coverage, and whether it was observed or filled."""
     bars = table(spark, d, "processed_klines")
     held = regular_grid.step_intervals(bars, {"symbol": F.col("symbol"), "kline_interval": F.col("interval")}, F.col("open_time"), interval_seconds(F.col("interval")), F.col("close"), [F.col("source_offset"), F.col("updated_at")])
     return regular_grid.onto_grid(held, ["symbol", "kline_interval"], SILENCE_S)
 
 
+def p4_grid(spark: SparkSession, d: str) -> DataFrame:
+    """grid() with its quotients to six digits."""
+    return grid(spark, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean", "coverage")})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Slots without a bar between two neighbouring slots at most a day apart."""
-    return p4_grid(spark, d).filter("marked = 'filled'").select("symbol", "kline_interval", "slot_epoch")
+    return grid(spark, d).filter("marked = 'filled'").select("symbol", "kline_interval", "slot_epoch")
 
 
 #: The profiled columns of each table.
@@ -203,4 +208,4 @@ def p6_orders_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars, p3_bars_values, p4_found, p4_grid, p5_found, p5_profile, p5_profile_counts, p5_drift, p6_found, p6_orders, p6_orders_values)}
+    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars_values, p4_found, p4_grid, p5_found, p5_profile_counts, p5_drift, p6_found, p6_orders_values)}

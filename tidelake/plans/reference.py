@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.parsing import order_status, symbol_letters, utc_timestamp
-from tidelake.operators import dedup, gaps, lifecycle, merge, parse, quality, serving
+from tidelake.operators import dedup, gaps, lifecycle, merge, parse, quality, scan, serving
 from tidelake.plans.problem_oracles import _ingest
 from tidelake.plans.problems import p3_bars
 from tidelake.session import scratch, table
@@ -125,7 +125,7 @@ def raw_window(spark: SparkSession, d: str) -> DataFrame:
 def staged_bars(spark: SparkSession, d: str) -> DataFrame:
     """One version of each raw bar: closed ones first, then the latest offset and ingest."""
     bars = p3_bars(spark, d).filter("symbol is not null and interval is not null and open_time is not null")
-    best = dedup.latest_by(bars, ["symbol", "interval", "open_time"], [F.col("is_closed"), F.col("source_offset"), F.col("ingest_time")])
+    best = dedup.latest_by(bars, ["symbol", "interval", "open_time"], [F.col("is_closed"), F.col("source_offset"), F.col("ingest_time"), F.col("source_partition")])
     return best.select("symbol", F.col("interval").alias("kline_interval"), _sec("open_time"), "is_closed", "source_offset", *_num("open", "close"))
 
 
@@ -135,7 +135,7 @@ def kline_upsert(spark: SparkSession, d: str) -> DataFrame:
     source = dedup.latest_by(bars, ["symbol", "interval", "open_time"], [F.col("source_offset"), F.col("updated_at")])
     now = table(spark, d, "processed_klines").filter("symbol is not null and interval is not null and open_time is not null")
     target = dedup.latest_by(now, ["symbol", "interval", "open_time"], [F.col("source_offset"), F.col("updated_at"), F.col("close")])
-    df = merge.upsert(target, source, ["symbol", "interval", "open_time"], guard=merge.not_older("source_offset"))
+    df = merge.upsert(target, source, ["symbol", "interval", "open_time"], guard=merge.not_older("source_offset"), check=False)  # one row a key by now
     return df.select("symbol", F.col("interval").alias("kline_interval"), _sec("open_time"), "source_offset")
 
 
@@ -235,11 +235,72 @@ def hour_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Differences between the order table's columns and those declared for it."""
+    """Differences between the change feed's columns and those declared for the order table."""
     from tidelake.schemas import TABLES
 
     expected = {f.name: f.dataType.simpleString() for f in TABLES["processed_orders"].schema.fields}
-    return quality.schema_drift(table(spark, d, "processed_orders"), "processed_orders", expected)
+    df = table(spark, d, "staging_orders")
+    times = {c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}
+    return quality.schema_drift(df.withColumns(times), "staging_orders", expected).select("severity", "dimension", F.substring_index("detail", " ", 1).alias("kind"))
+
+
+def table_checks_window(spark: SparkSession, d: str) -> DataFrame:
+    """table_checks within a window of business time."""
+    out = None
+    for name, keys, time in CHECKED:
+        part = quality.table_check(_checkable(table(spark, d, name)), name, keys, keys, time, WINDOW)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def data_quality_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The data quality log of the main tables, day by day of business time."""
+    out = None
+    for name, keys, time in CHECKED:
+        part = quality.checks_by_day(_checkable(table(spark, d, name)), name, keys, keys, time)
+        out = part if out is None else out.unionAll(part)
+    return out.withColumn("checked_at", F.unix_seconds("checked_at"))
+
+
+#: Table, key (also what must not be null) and business time of the checked tables.
+CHECKED = [("processed_trades", ["symbol", "trade_id"], "trade_time"), ("processed_klines", ["symbol", "interval", "open_us"], "open_time"), ("staging_orders", ["order_id", "order_status"], "event_time"), ("processed_orders", ["order_id"], "updated_at"), ("market_hourly_summary", ["symbol", "hour_us"], "summary_hour")]
+
+
+def _checkable(df: DataFrame) -> DataFrame:
+    """Key times as microseconds, so that their text is the same everywhere."""
+    for time, key in (("open_time", "open_us"), ("summary_hour", "hour_us")):
+        if time in df.columns:
+            df = df.withColumn(key, F.unix_micros(F.col(time).cast("timestamp")))
+    return df
+
+
+_CHECKED_SQL = [("processed_trades", "concat_ws(':', symbol, trade_id)", "symbol is null or trade_id is null", "trade_time"), ("processed_klines", "concat_ws(':', symbol, \"interval\", epoch_us(open_time))", "symbol is null or \"interval\" is null or open_time is null", "open_time"), ("staging_orders", "concat_ws(':', order_id, order_status)", "order_id is null or order_status is null", "event_time"), ("processed_orders", "order_id", "order_id is null", "updated_at"), ("market_hourly_summary", "concat_ws(':', symbol, epoch_us(summary_hour))", "symbol is null or summary_hour is null", "summary_hour")]
+
+
+def quality_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All anomalies of the typed trades: ages at the last ingest, gaps, reversals, nulls and zeros."""
+    import datetime as dt
+
+    now = dt.datetime(2016, 1, 7, tzinfo=dt.timezone.utc)
+    config = scan.ScanConfig(order="source_offset", freshness="event", event_time="trade_time", sla_ms=3_600_000.0, max_missing=5)
+    return scan.scan(table(spark, d, "processed_trades"), "processed_trades", config, now=now).select("check_name", "severity", "dimension", "observed", "threshold")
+
+
+def quality_scan_lags(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of the trades of one partition as a run of a measured stream: lags by symbol, of this run only."""
+    rows = table(spark, d, "processed_trades").withColumns({"run_id": F.col("source_partition").cast("string"), "lag_ms": F.unix_millis(utc_timestamp(F.col("ingest_time"))) - F.unix_millis(F.col("trade_time").cast("timestamp"))})
+    config = scan.ScanConfig(order="source_offset", lag_label="symbol", sla_ms=30_000.0, max_missing=10)
+    return scan.scan(rows, "processed_trades", config, lags=rows, run_id="1").select("check_name", "severity", "dimension", "observed", "threshold")
+
+
+_SCAN_TAIL = lambda rows, missing: f"""ids as (select distinct symbol, trade_id from {rows} where symbol is not null and trade_id is not null),
+  gap as (select symbol, trade_id - lag(trade_id) over (partition by symbol order by trade_id) - 1 m from ids),
+  fall as (select symbol, count(*) filter (trade_id < p) n from (select symbol, trade_id, lag(trade_id) over (partition by symbol order by source_offset, trade_id) p from {rows} where source_offset is not null and trade_id is not null and symbol is not null) group by 1)
+  select check_name, severity, dimension, cast(observed as double) observed, cast(threshold as double) threshold from (
+  select 'GAP' check_name, 'CRITICAL' severity, symbol dimension, m observed, {missing} threshold from gap where m > {missing}
+  union all select 'ORDER_REVERSAL', 'WARN', symbol, n, 0 from fall where n > 0
+  union all select 'NULL_OR_ZERO', 'CRITICAL', 'processed_trades.' || f, n, 0 from (select 'price' f, count(*) filter (price is null or price = 0) n from {rows} union all select 'qty', count(*) filter (qty is null or qty = 0) from {rows}) where n > 0
+  union all select 'FRESHNESS_SLA', severity, symbol, observed, sla from fresh)"""
 
 
 def anchor_export(spark: SparkSession, d: str) -> DataFrame:
@@ -249,8 +310,11 @@ def anchor_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Hours, lowest and highest volume-weighted price by symbol as published."""
-    return table(spark, d, "market_hourly_summary").groupBy("symbol").agg(F.count("*").alias("n_hours"), F.round(F.min("vwap").cast("double"), 4).alias("low"), F.round(F.max("vwap").cast("double"), 4).alias("high"))
+    """By symbol, in order: hours, lowest and highest volume-weighted price as published, mean slippage of its executions."""
+    market = table(spark, d, "market_hourly_summary").groupBy("symbol").agg(F.count("*").alias("n_hours"), F.round(F.min("vwap").cast("double"), 4).alias("low"), F.round(F.max("vwap").cast("double"), 4).alias("high"))
+    latest = dedup.latest_by(table(spark, d, "market_hourly_summary"), ["symbol", "summary_hour"], [F.col("updated_at"), F.col("trade_count")]).withColumn("summary_hour", F.col("summary_hour").cast("timestamp"))
+    slips = serving.execution_hourly(once_orders(spark, d), latest).groupBy("symbol").agg(*[F.round(F.avg(f"{s}_slippage_bps") + 1e-9, 3).alias(f"{s}_bps") for s in ("buy", "sell")])
+    return market.join(slips, "symbol", "left").orderBy("symbol")
 
 
 def volume_count_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +334,7 @@ def orders_store(spark: SparkSession, d: str) -> DataFrame:
     store.merge(lifecycle.fold(_feed(spark, d), ["client_id"]))
     store.update(F.col("order_status") == "CANCELED", {"filled_qty": F.lit(0)})
     store.delete(F.col("order_status") == "DELETED")
-    store.compact(4)
+    store.compact()
     return store.read().groupBy("order_status").agg(F.count("*").alias("orders"), F.round(F.sum("filled_qty").cast("double"), 4).alias("filled"))
 
 
@@ -301,11 +365,23 @@ ORACLES = {
     "hour_gaps": f"with h as (select distinct symbol, {_HOUR.format('summary_hour')} h from market_hourly_summary where symbol is not null and summary_hour is not null), g as (select *, lead(h) over (partition by symbol order by h) n from h) select symbol, unnest(generate_series(h + 3600, n - 3600, 3600)) missing_hour from g where n - h > 3600",
     "hour_coverage": f"with h as (select distinct symbol, {_HOUR.format('summary_hour')} h from market_hourly_summary where symbol is not null and summary_hour is not null) select symbol, (max(h) - min(h)) // 3600 + 1 expected, count(*) actual, (max(h) - min(h)) // 3600 + 1 - count(*) missing from h group by 1",
     "anchor_export": f"with {_BARS} select symbol, epoch_ms(open_time) open_time_ms, cast(\"close\" as double) \"close\", cast(volume as double) volume from bars where \"close\" > 0 and volume > 0",
-    "verify_symbols": "select symbol, count(*) n_hours, round(cast(min(vwap) as double), 4) low, round(cast(max(vwap) as double), 4) high from market_hourly_summary group by 1",
+    "verify_symbols": f"""with {_ORDERS}, {_EXEC}, pub as (select * from (select *, {_HOUR.format('summary_hour')} h, row_number() over (partition by symbol, summary_hour order by updated_at desc, trade_count desc nulls last) rn from market_hourly_summary) where rn = 1),
+      slip as (select e.symbol, round(avg((cast(cast(avg_buy_fill_price as decimal(20,8)) as double) - v) / nullif(v, 0) * 10000) + 1e-9, 3) buy_bps, round(avg((v - cast(cast(avg_sell_fill_price as decimal(20,8)) as double)) / nullif(v, 0) * 10000) + 1e-9, 3) sell_bps from exec e left join (select symbol, h, cast(vwap as double) v from pub) p on e.symbol = p.symbol and e.summary_hour = p.h group by 1)
+      select m.*, buy_bps, sell_bps from (select symbol, count(*) n_hours, round(cast(min(vwap) as double), 4) low, round(cast(max(vwap) as double), 4) high from market_hourly_summary group by 1) m left join slip on m.symbol = slip.symbol order by symbol""",
+    "schema_drift": """with have as (select column_name c from information_schema.columns where table_name = 'staging_orders'), want as (select column_name c from information_schema.columns where table_name = 'processed_orders')
+      select 'CRITICAL' severity, 'staging_orders.' || c dimension, 'missing,' kind from want where c not in (select c from have) union all select 'WARN', 'staging_orders.' || c, 'extra' from have where c not in (select c from want)""",
+    "table_checks_window": "with " + ", ".join(f"c{i} as (select '{n}' table_name, count(*) row_count, count(*) filter ({absent}) null_count, count(*) - count(distinct {key}) duplicate_count from {n} where {time} >= '{WINDOW[0]}' and {time} < '{WINDOW[1]}')" for i, (n, key, absent, time) in enumerate(_CHECKED_SQL)) + " " + " union all ".join(f"select *, case when null_count > 0 or duplicate_count > 0 then 'FAIL' else 'PASS' end check_status from c{i}" for i in range(len(_CHECKED_SQL))),
+    "data_quality_daily": "with " + ", ".join(f"c{i} as (select '{n}' table_name, '{time}' col, cast(floor(epoch({time}) / 86400) as bigint) * 86400 d, count(*) row_count, count(*) filter ({absent}) null_count, count(*) - count(distinct {key}) duplicate_count from {n} where {time} is not null group by 3)" for i, (n, key, absent, time) in enumerate(_CHECKED_SQL)) + ", every as (" + " union all ".join(f"select * from c{i}" for i in range(len(_CHECKED_SQL))) + """)
+      select 'daily-' || strftime(make_timestamp(d * 1000000), '%Y-%m-%d') run_id, d + 86400 checked_at, table_name, 'rows_nulls_duplicates' check_name, case when null_count > 0 or duplicate_count > 0 then 'FAIL' else 'PASS' end check_status, row_count, null_count, duplicate_count,
+      col || ' in [' || strftime(make_timestamp(d * 1000000), '%Y-%m-%d') || ', ' || strftime(make_timestamp((d + 86400) * 1000000), '%Y-%m-%d') || ')' warning_message from every""",
+    "quality_scan": f"with age as (select symbol, 1452124800000 - max(epoch_ms(trade_time)) a from processed_trades group by 1), fresh as (select 'CRITICAL' severity, symbol, a observed, 3600000 sla from age where a > 3600000), {_SCAN_TAIL('processed_trades', 5)}",
+    "quality_scan_lags": f"with rows_ as (select *, epoch_ms({_ingest()}) - epoch_ms(trade_time) lag_ms from processed_trades where source_partition = 1), q as (select symbol, quantile_disc(lag_ms, 0.95) p95, max(lag_ms) high from rows_ group by 1), fresh as (select case when p95 > 30000 then 'CRITICAL' else 'WARN' end severity, symbol, case when p95 > 30000 then p95 else high end observed, 30000 sla from q where p95 > 30000 or high > 30000), {_SCAN_TAIL('rows_', 10)}",
+    "orders_store": f"""with {_FEED}, {_FOLD}, {_ORDERS}, merged as (select coalesce(t.order_id, s.order_id) order_id, case when t.order_id is null or s.updated_at >= t.updated_at then s.order_status else t.order_status end order_status, t.filled_qty from orders_once t full join fold s on t.order_id = s.order_id)
+      select order_status, count(*) orders, round(cast(sum(case when order_status = 'CANCELED' then 0 else filled_qty end) as double), 4) filled from merged where order_status is distinct from 'DELETED' group by 1""",
     "volume_count_correlation": f"with {_BARS}, {_BAR_HOURS}, {_ORDERS}, {_EXEC} select count(*) n_hours, round(corr(cast(total_orders as double), cast(kline_number_of_trades as double)), 6) r from exec e join bar_hours b on e.symbol = b.symbol and e.summary_hour = b.summary_hour",
 }
 
 
 def queries() -> dict:
-    named = (market_hourly_summary, market_hourly_affected, affected_keys_union, bars_by_hour, order_execution_hourly, execution_vs_market, parse_trades, new_trades_anti_join, raw_window, staged_bars, kline_upsert, order_events_once, order_lifecycle, order_upsert, order_carry_forward, trade_id_gaps, arrival_reversals, null_or_zero, table_checks, freshness, lag_percentiles, hour_gaps, hour_coverage, schema_drift, anchor_export, verify_symbols, volume_count_correlation, orders_store)
+    named = (market_hourly_summary, market_hourly_affected, affected_keys_union, bars_by_hour, order_execution_hourly, execution_vs_market, parse_trades, new_trades_anti_join, raw_window, staged_bars, kline_upsert, order_events_once, order_lifecycle, order_upsert, order_carry_forward, trade_id_gaps, arrival_reversals, null_or_zero, table_checks, freshness, lag_percentiles, hour_gaps, hour_coverage, schema_drift, table_checks_window, data_quality_daily, quality_scan, quality_scan_lags, anchor_export, verify_symbols, volume_count_correlation, orders_store)
     return {f.__name__: f for f in named}

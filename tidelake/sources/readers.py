@@ -53,6 +53,50 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
 
 
+def monthly(spark: SparkSession, template: str, first: str, last: str, schema: str) -> DataFrame | None:
+    """strict_csv of the months' files from first to last ('2024-01'), named by a template with {month}; months without a file are left out, and None stands for no file at all."""
+    (y, m), (y1, m1) = ((int(x) for x in month.split("-")) for month in (first, last))
+    names = [template.format(month=f"{k // 12:04d}-{k % 12 + 1:02d}") for k in range(12 * y + m - 1, 12 * y1 + m1)]
+    there = existing(spark, names)
+    return strict_csv(spark, there, schema) if there else None
+
+
+def first_rows(spark: SparkSession, path: str, schema: str, limit: int | None) -> DataFrame:
+    """The first rows of a CSV file, as many as asked for: for trials. None: all."""
+    rows = strict_csv(spark, path, schema)
+    return rows if limit is None else rows.limit(limit)
+
+
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and sha256 of files, to tell what a result was made from. A file is read whole by one task: for fixtures, not for logs."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def bars_of(bars: DataFrame, symbol: str, interval: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars of one series with close and volume, from start (included) to end (not), where these are given."""
+    rows = bars.filter((F.col("symbol") == symbol) & (F.col("interval") == interval)).dropna(subset=["open_time", "close", "volume"])
+    at = F.col("open_time").cast("timestamp")
+    if start:
+        rows = rows.filter(at >= F.lit(start).cast("timestamp"))
+    return rows.filter(at < F.lit(end).cast("timestamp")) if end else rows
+
+
+def symbols_of(config: dict, shard: int | None = None) -> list[str]:
+    """The symbols a configuration (streams, symbols, shards) gives to one shard, or all; each belongs to exactly one."""
+    symbols = sorted({s.strip().upper() for s in config.get("symbols", []) if s.strip()})
+    shards = int(config.get("shards", 1))
+    if not symbols or shards < 1:
+        raise ValueError("a configuration needs symbols, and one shard at least")
+    if shard is not None and not 0 <= shard < shards:
+        raise ValueError(f"there is no shard {shard} of {shards}")
+    return symbols if shard is None else symbols[shard::shards]
+
+
+def only(df: DataFrame, symbols: list[str], column: str = "symbol") -> DataFrame:
+    """Rows of the given symbols."""
+    return df.filter(F.col(column).isin(symbols))
+
+
 def anchor_frame(spark: SparkSession, path: str, start_ms: int, end_ms: int) -> DataFrame:
     """open_time_ms, close, volume of a CSV with header in [start, end), positive close and volume only, in order."""
     df = spark.read.option("header", True).schema("open_time_ms bigint, close double, volume double").csv(path)

@@ -213,9 +213,10 @@ class Table:
         if self.spec.guard and "guard" not in how:
             how["guard"] = lambda s, t: s(self.spec.guard) >= t(self.spec.guard)
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        self._conform(source).write.parquet(staged)
-        source = self.spark.read.schema(self.spec.schema).parquet(staged)
-        if self.spec.days and parts:
+        have = [f.name for f in self.spec.schema.fields if f.name in source.columns]  # what the source lacks stays as it is
+        self._conform(source).select(*have).write.parquet(staged)
+        source = self.spark.read.schema(T.StructType([f for f in self.spec.schema.fields if f.name in have])).parquet(staged)
+        if self.spec.days and self.spec.days in have and parts:
             hit = self._read(parts).join(source.select(*keys).distinct(), keys, "left_semi")
             days = {r[DAY] for r in hit.select(self._day().alias(DAY)).unionAll(source.select(self._day().alias(DAY))).distinct().collect()}  # one row a day
         else:
