@@ -363,6 +363,9 @@ def test_period_stream_closes_diverts_and_replays(spark, tmp_path):
     out = got(p.final.read(), "item", "n", "total", "period_epoch")
     assert [(i, n, t, e - base) for i, n, t, e in out] == [("x", 3, 7.0, 0), ("y", 2, 2.0, 60)]
     assert got(p.diverted.read(), "item", "reason") == [("x", "passed by its source"), ("x", "passed by its source"), ("x", "period closed"), ("z", "passed by its source")]
+    p.upkeep(keep_last=1)
+    p.batch(frames[0], "b/0")  # replayed after its snapshots expired
+    assert got(p.final.read(), "item", "n") == [("x", 3), ("y", 2)] and p.marks.read().count() == 3 and p.partials.read().count() == 0
     again = PeriodStream(spark, f"file://{tmp_path}/s2", Periods(60, 120, 121), key="k", event_time="t", arrival="a", source="s", value="v")
     stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     again.start(stream, str(tmp_path / "c")).awaitTermination()

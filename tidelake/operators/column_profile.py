@@ -202,4 +202,4 @@ def drift(counts: DataFrame, series: list[str], load: str, step: int) -> DataFra
     p, q = F.greatest(F.col("now"), F.lit(0.5)) / F.col("all_now"), F.greatest(F.col("was"), F.lit(0.5)) / F.col("all_was")
     expected = lambda side: (F.col("now") + F.col("was")) * F.col(side) / (F.col("all_now") + F.col("all_was"))
     chi = (F.col("now") - expected("all_now")) ** 2 / expected("all_now") + (F.col("was") - expected("all_was")) ** 2 / expected("all_was")
-    return pair.groupBy(*by, load).agg(F.round(F.sum((p - q) * F.log(p / q)), 6).alias("psi"), F.round(F.sum(chi), 6).alias("chi_square"), F.count("*").alias("bins"))
+    return pair.groupBy(*by, load).agg(F.round(F.sum((p - q) * F.log(p / q)) + 1e-9, 6).alias("psi"), F.round(F.sum(chi) + 1e-9, 6).alias("chi_square"), F.count("*").alias("bins"))

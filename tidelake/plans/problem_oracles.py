@@ -111,6 +111,14 @@ ORACLES = {
   union all select b.table_name, b.column_name, b.symbol, b.load_epoch, 'median_shift' from big b join big p on b.table_name = p.table_name and b.column_name = p.column_name and b.symbol = p.symbol and p.load_epoch + 3600 = b.load_epoch
     where b.vals >= 20 and p.vals >= 20 and b.median > 0 and p.median > 0 and greatest(b.median, p.median) > 5 * least(b.median, p.median)""",
     "p5_profile_counts": f"""with {_LOADS} select table_name, column_name, symbol, load_epoch, n_rows, nulls, nonpositive, n_distinct, n_top, round(median, 9) median from loads""",
+    "p5_drift": f"""with {_LOADS}, bins as (select table_name, column_name, symbol, load_epoch, case when v = 0 then 0 when v > 0 then floor((floor(log2(cast(v as double)) * 16) + 20000) / 16) else floor(-(floor(log2(-cast(v as double)) * 16) + 20000) / 16) end b, sum(n) n from freq where v is not null group by 1, 2, 3, 4, 5),
+  sides as (select table_name, column_name, symbol, load_epoch, b, n now, 0 was from bins union all select table_name, column_name, symbol, load_epoch + 3600, b, 0, n from bins),
+  pair as (select table_name, column_name, symbol, load_epoch, b, cast(sum(now) as double) now, cast(sum(was) as double) was from sides group by 1, 2, 3, 4, 5),
+  tot as (select *, sum(now) over w n1, sum(was) over w n0 from pair window w as (partition by table_name, column_name, symbol, load_epoch)),
+  part as (select *, greatest(now, 0.5) / n1 p, greatest(was, 0.5) / n0 q, (now + was) * n1 / (n1 + n0) e1, (now + was) * n0 / (n1 + n0) e0 from tot where n1 > 0 and n0 > 0)
+  select table_name, column_name, symbol, load_epoch, round(sum((p - q) * ln(p / q)) + 1e-9, 6) psi, round(sum((now - e1) * (now - e1) / e1 + (was - e0) * (was - e0) / e0) + 1e-9, 6) chi_square, count(*) bins from part group by 1, 2, 3, 4""",
+    "p5_patterns": """with c as (select 'symbol' column_name, symbol load, symbol v, '^[A-Z]+USQ$' p from processed_trades union all select 'source_topic', symbol, source_topic, '^trades$' from processed_trades union all select 'ingest_time', symbol, ingest_time, '^\\d{4}-\\d\\d-\\d\\d[T ]' from processed_trades)
+  select column_name, load symbol, count(*) n_rows, count(*) - count(v) nulls, count(distinct v) n_distinct, count(*) filter (v is not null and not regexp_matches(v, p)) violations, min(v) low_text, max(v) high_text from c group by 1, 2""",
     "p6_orders_values": f"""with {_STATUS_ALL}, state as (select order_id, max(rn) last_rn, coalesce(max(rn) filter (st = 'NEW'), 0) born, coalesce(max(rn) filter (st = 'DELETED'), 0) dead from ranked group by 1)
   select r.order_id, r.st order_status, r.event_ms, client_id, symbol, side, order_type, cast(order_price as double) order_price, cast(order_qty as double) order_qty, cast(filled_qty as double) filled_qty, cast(avg_fill_price as double) avg_fill_price, source_offset
   from state s join ranked r on s.order_id = r.order_id and s.last_rn = r.rn where dead = 0 or born > dead""",

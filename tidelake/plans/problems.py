@@ -167,6 +167,17 @@ def p5_drift(spark: SparkSession, d: str) -> DataFrame:
     return each_load(spark, d, lambda *load: column_profile.drift(column_profile.value_counts(*load), ["symbol"], "load_epoch", 3600))
 
 
+#: What texts of the trades should look like.
+PATTERNS = {"symbol": "^[A-Z]+USQ$", "source_topic": "^trades$", "ingest_time": r"^\d{4}-\d\d-\d\d[T ]"}
+
+
+def p5_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the trades by symbol: nulls, distinct values, ends of their range, and values that break their column's pattern."""
+    rows = table(spark, d, "processed_trades").withColumn("_load", F.col("symbol"))
+    out = column_profile.profile_loads(rows, {"load": F.col("_load")}, list(PATTERNS), lambda label: scratch(spark, label), PATTERNS)
+    return column_profile.named(out, list(PATTERNS)).select("column_name", F.col("load").alias("symbol"), F.col("rows").alias("n_rows"), "nulls", F.col("distinct").alias("n_distinct"), "violations", "low_text", "high_text")
+
+
 def order_changes(spark: SparkSession, d: str) -> DataFrame:
     """staging_orders with the status read into one spelling, its rank and the kind of change."""
     feed = table(spark, d, "staging_orders")
@@ -208,4 +219,4 @@ def p6_orders_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars_values, p4_found, p4_grid, p5_found, p5_profile_counts, p5_drift, p6_found, p6_orders_values)}
+    return {f.__name__: f for f in (p1_found, p1_corrected_hours, p1_closings, p2_found, p2_raw_once, p2_trades_once, p3_found, p3_bars_values, p4_found, p4_grid, p5_found, p5_profile_counts, p5_drift, p5_patterns, p6_found, p6_orders_values)}
