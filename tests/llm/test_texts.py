@@ -74,6 +74,18 @@ def test_blank_and_long_texts(spark, counter):
     assert out == {4: 2, None: 1, 6: counter("word " * 50_000)}
 
 
+def test_pieces_give_the_texts_back(spark, counter, tmp_path):
+    texts = {1: "word " * 300, 2: "One two  three.\n\nFour\tfive é 中文", 3: "x", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("piece", F.lit("clash"))
+    packed = packing.pack(spark, packing.token_lengths(df, "doc_id", "text"), f"file://{tmp_path}/l", 64)
+    rows = sorted((r["key"], r["piece"], r["ids"]) for r in packing.token_slices(df, packed, "doc_id", "text").collect())
+    back = defaultdict(list)
+    for k, _, ids in rows:
+        assert 0 < len(ids) <= 64
+        back[k] += ids
+    assert {k: counter.encoding.decode(ids) for k, ids in back.items()} == {k: t for k, t in texts.items() if t}
+
+
 # leaks
 
 

@@ -132,7 +132,7 @@ def _drive(names: list[str]):
     return run
 
 
-def nearest(left: DataFrame, right: DataFrame, *, left_entity: list[Column], left_time: Column, left_id: Column, right_entity: list[Column], right_time: Column, right_key: Column, tolerance_us: Column, block_s: int = 3600) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, *, left_entity: list[Column], left_time: Column, left_id: Column, right_entity: list[Column], right_time: Column, right_key: Column, tolerance_us: Column, block_s: int = 600) -> DataFrame:
     """e0.. (the entity, as text), id, key, distance_us: each left row that has a right record within tolerance.
 
     tolerance_us must depend on the entity columns only; both sides evaluate it. One shuffle, on entity and block."""

@@ -79,6 +79,28 @@ def token_lengths(texts: DataFrame, key: str, text: str, tokenizer: str = TOKENI
     return rows.mapInArrow(run, f"key {kind}, tokens bigint")
 
 
+def token_slices(texts: DataFrame, packed: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """key, piece, container, ids: the token numbers of every packed piece, cut out of its whole text's tokens.
+
+    Joined by key, which must be unique in the texts; a null key joins nothing."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counters.setdefault(tokenizer, None) or TokenCounter(tokenizer)
+        _counters[tokenizer] = count
+        for b in batches:
+            starts, sizes, last, ids = b.column(2).to_pylist(), b.column(3).to_pylist(), None, []
+            cut = []
+            for t, a, n in zip(b.column(5).to_pylist(), starts, sizes, strict=True):
+                if t is not last:  # the pieces of a text come one after another
+                    last, ids = t, count.encoding.encode_ordinary(t)
+                cut.append(ids[a : a + n])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(cut, pa.list_(pa.int32()))], ["key", "piece", "container", "ids"])
+
+    ship(texts.sparkSession)
+    rows = packed.select("key", "piece", "start", "tokens", "container").join(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, piece bigint, container bigint, ids array<int>")
+
+
 def fill_once(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The filling, as length: times, that holds the longest length and comes closest to capacity."""
     longest = max(counts)
