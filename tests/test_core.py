@@ -571,3 +571,25 @@ def test_timed_stream(spark, tmp_path):
     assert replay.timed(start({"availableNow": True}, "a"), 60)
     running = start({"processingTime": "1 second"}, "b")
     assert not replay.timed(running, 1.5) and not running.isActive
+
+
+def test_daily_jobs_run_again_change_nothing(spark, data, tmp_path):
+    from tidelake.plans.daily import CHECKED, Daily
+    from tidelake.session import table
+    from tidelake.store import Catalog
+
+    catalog = Catalog(spark, f"file://{tmp_path}/lake")
+    make = lambda run: Daily(spark, catalog, table(spark, data, "raw_trades").limit(300), table(spark, data, "raw_klines").limit(200), table(spark, data, "staging_orders").limit(100), ("2016-01-01 00:00:00", "2017-01-01 00:00:00"), run)
+    make("a").run()
+    counts = lambda: {n: catalog.table(f"lake.{n}", TABLES[n]).read().count() for n in CHECKED}
+    first = counts()
+    assert all(first.values())
+    again = make("b")
+    for name in ("processed_trades", "staging_klines", "processed_klines", "market_hourly_summary"):
+        again.jobs()[name]()
+    assert counts() == first
+    broken = Daily(spark, catalog, table(spark, data, "raw_trades").drop("message_value"), again.raw_klines, again.orders, again.window, "c")
+    with pytest.raises(Exception, match="message_value"):
+        broken.run()
+    log = catalog.table("lake.pipeline_run_summary", TABLES["pipeline_run_summary"]).read()
+    assert got(log.filter("run_id = 'c'"), "task_name", "status") == [("processed_trades", "FAILED")]

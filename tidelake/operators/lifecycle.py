@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.parsing import status_rank
+from tidelake.functions.parsing import status_rank, utc_timestamp
 from tidelake.operators.merge import upsert
 
 
-def fold(events: DataFrame, carried: list[str]) -> DataFrame:
+def fold(events: DataFrame, carried: list[str], ingest: str | None = None) -> DataFrame:
     """One row an order: its last event (by time, status rank, offset) and the times of its life, in one aggregate.
 
-    created_at is the first event of any status. Rows without order_id or event_time are left out; ties beyond the
+    created_at is the first event of any status. ingest: a column of ingest times as text, of which the latest is given. Rows without order_id or event_time are left out; ties beyond the
     offset go to the greatest carried values."""
     last = F.struct("event_time", status_rank(F.col("order_status")).alias("rank"), "source_offset", "order_status", *carried)
     out = events.filter("order_id is not null and event_time is not null").groupBy("order_id").agg(
@@ -21,8 +21,9 @@ def fold(events: DataFrame, carried: list[str]) -> DataFrame:
         F.max("event_time").alias("updated_at"),
         F.max(F.when(F.col("order_status") == "FILLED", F.col("event_time"))).alias("filled_at"),
         F.max(F.when(F.col("order_status") == "CANCELED", F.col("event_time"))).alias("canceled_at"),
+        *([F.max_by(ingest, utc_timestamp(F.col(ingest))).alias(ingest)] if ingest else []),
     )
-    return out.select("order_id", "_l.order_status", *[f"_l.{c}" for c in carried], "created_at", "updated_at", "filled_at", "canceled_at", "_l.source_offset")
+    return out.select("order_id", "_l.order_status", *[f"_l.{c}" for c in carried], "created_at", "updated_at", "filled_at", "canceled_at", "_l.source_offset", *([ingest] if ingest else []))
 
 
 def rebuild(target: DataFrame, folded: DataFrame) -> DataFrame:

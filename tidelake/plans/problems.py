@@ -17,7 +17,8 @@ def corrected_hours(spark: SparkSession, d: str) -> DataFrame:
     trades = table(spark, d, "processed_trades")
     arrival, source = utc_timestamp(F.col("ingest_time")), F.concat_ws("-", "source_topic", "source_partition")
     once = late_periods.first_arrivals(trades, {"symbol": F.col("symbol"), "trade_id": F.col("trade_id")}, F.col("trade_time"), arrival, source)
-    return late_periods.corrected(trades, once, PERIODS, ["symbol"], arrival, source, scratch(spark, "late-periods"))
+    stamps = trades.select("source_topic", "source_partition", "ingest_time").distinct()  # a stamp is read once, not once a row
+    return late_periods.corrected(stamps, once, PERIODS, ["symbol"], arrival, source, scratch(spark, "late-periods"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +89,9 @@ BAR_COLUMNS = {
 }
 
 
-def p3_bars(spark: SparkSession, d: str) -> DataFrame:
-    """raw_klines as one table with the columns of processed_klines, whatever shape a message has."""
-    raw = table(spark, d, "raw_klines").withColumn("_key", F.col("message_key"))
-    bars = schema_lifespan.unify(raw, "message_value", BAR_COLUMNS)
+def unified_bars(raw: DataFrame, aliases: dict = schema_lifespan.BAR_ALIASES) -> DataFrame:
+    """Bar messages as one table with the columns of processed_klines, whatever shape a message has."""
+    bars = schema_lifespan.unify(raw.withColumn("_key", F.col("message_key")), "message_value", BAR_COLUMNS, aliases)
     return bars.select(
         F.coalesce(symbol_key(F.col("symbol")), symbol_key(F.substring_index("_key", "_", 1))).alias("symbol"),
         F.coalesce("interval", F.when(F.instr("_key", "_") > 0, F.substring_index("_key", "_", -1))).alias("interval"),
@@ -101,6 +101,11 @@ def p3_bars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_bars(spark: SparkSession, d: str) -> DataFrame:
+    """raw_klines as one table."""
+    return unified_bars(table(spark, d, "raw_klines"))
+
+
 def p3_bars_values(spark: SparkSession, d: str) -> DataFrame:
     """p3_bars with times in milliseconds and numbers as doubles."""
     bars = p3_bars(spark, d).withColumnsRenamed({"interval": "kline_interval"}).drop("updated_at")
