@@ -593,3 +593,47 @@ def test_daily_jobs_run_again_change_nothing(spark, data, tmp_path):
         broken.run()
     log = catalog.table("lake.pipeline_run_summary", TABLES["pipeline_run_summary"]).read()
     assert got(log.filter("run_id = 'c'"), "task_name", "status") == [("processed_trades", "FAILED")]
+
+
+def test_frames_from_a_socket_through_a_spool(spark, tmp_path):
+    import base64
+    import hashlib
+    import socket
+    import threading
+
+    from tidelake.sources import frames
+    from tidelake.streaming import replay
+
+    trade = json.dumps({"e": "aggTrade", "E": 5, "s": "BTCUSDT", "a": 7, "p": "2.5", "q": "2", "T": 4, "m": True, "M": True})
+    long = json.dumps({"stream": "x" * 300, "data": json.loads(trade) | {"a": 8}})
+    heard = []
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        for k in range(2):
+            c, _ = server.accept()
+            f = c.makefile("rb")
+            lines = [x.decode().strip() for x in iter(f.readline, b"\r\n")]
+            key = next(x.split(": ")[1] for x in lines if x.startswith("Sec-WebSocket-Key"))
+            answer = base64.b64encode(hashlib.sha1((key + frames.ANSWER).encode()).digest()).decode()
+            c.sendall(f"HTTP/1.1 101 Switching Protocols\r\nSec-WebSocket-Accept: {answer}\r\n\r\n".encode())
+            text = trade.encode()
+            c.sendall(bytes([0x01, 10]) + text[:10] + bytes([0x89, 2]) + b"hi" + bytes([0x80, len(text) - 10]) + text[10:])  # in two parts, a ping between
+            head = f.read(2)
+            mask = f.read(4)
+            heard.append((head[0] & 15, bytes(b ^ mask[i] for i, b in enumerate(f.read(head[1] & 127)))))
+            if k:
+                body = long.encode()
+                c.sendall(bytes([0x81, 126]) + len(body).to_bytes(2, "big") + body + bytes([0x88, 0]))
+            c.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    url = f"ws://127.0.0.1:{server.getsockname()[1]}/stream?streams=btcusdt@aggTrade"
+    got_frames = replay.reconnecting(lambda: frames.messages(url, 5), lambda _: None, most_attempts=3)
+    assert frames.spool(spark, got_frames, f"file://{tmp_path}/spool", most=2) == 2
+    assert heard == [(frames.PONG, b"hi")] * 2
+    out = parse.exchange_frames(frames.frame_stream(spark, f"file://{tmp_path}/spool", 1))
+    out.writeStream.format("memory").queryName("heard_frames").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(json.loads(r["message_value"])["trade_id"] for r in spark.table("heard_frames").collect()) == ["7", "7", "8"]
+    with pytest.raises(ValueError):
+        next(frames.messages("http://x"))

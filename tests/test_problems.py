@@ -399,3 +399,41 @@ def test_json_fields_take_whole_objects_only(spark):
     texts = ['{"a": 1, "b": {"c": [2]}} ', '{"a": "x"', '{"a": 1} tail', "[1]", "7", "", None, '{"a": null}', '{"a": 1, "a": 2}']
     out = spark.createDataFrame([(t,) for t in texts], "t string").select(json_fields(F.col("t"), ["a", "b"]).alias("r")).collect()
     assert [r["r"] and (r["r"]["a"], r["r"]["b"]) for r in out] == [("1", '{"c":[2]}'), None, None, None, None, None, None, (None, None), ("2", None)]
+
+
+def test_loads_profiled_together_or_spread_are_the_same(spark, tmp_path):
+    rng = random.Random(55)
+    rows = []
+    for load, n in (("a", 400), ("b", 7), (None, 60), ("c", 1)):
+        for _ in range(n):
+            v = rng.choice([None, Decimal("5"), Decimal("5"), Decimal(rng.randrange(-300, 10**rng.randrange(1, 9))).scaleb(-4)])
+            rows.append((load, v, rng.choice([None, "ab1", "zz", ""]), rng.choice([1.5, float("nan"), None, -2.0])))
+    df = spark.createDataFrame(rows, "l string, v decimal(20,8), t string, d double").withColumn("num", F.lit("clash"))
+    n = iter(range(100))
+    figures = lambda hot: sorted(str(tuple(r)) for r in column_profile.profile_loads(df, {"load": F.col("l")}, ["v", "t", "d"], lambda label: f"file://{tmp_path}/{label}-{next(n)}", {"t": "^ab"}, hot_rows=hot).select("load", "column_id", "rows", "nulls", "nonpositive", "distinct", "top", "low", "high", "low_text", "high_text", "violations", "median", F.round("mean", 6)).collect())
+    together = figures(10**9)
+    assert len(together) == 12 and together == figures(50) == figures(0)
+    for name in ("a", "b", None):
+        values = sorted(r[1] for r in rows if r[0] == name and r[1] is not None)
+        mine = next(r for r in together if r.startswith(f"({name!r}, 0, "))
+        assert f", {float(median(values))!r}, " in mine
+    assert column_profile.profile_loads(df.limit(0), {"load": F.col("l")}, ["v"], lambda label: f"file://{tmp_path}/{label}-e", hot_rows=0).count() == 0
+
+
+def test_beside_against_brute_force_from_one_exchange(spark):
+    rng = random.Random(56)
+    rows = [(k, o, rng.choice([None, "p", "q"])) for k in ("x", "y") for o in rng.sample(range(-500, 500), 120)] + [(None, 1, "p"), ("x", None, "p")]
+    df = spark.createDataFrame(rows, "k string, o bigint, v string").withColumn("extra", F.lit(1))
+    out = blocked.beside(df.groupBy("k", "o", "v").agg(F.max("extra").alias("extra")), ["k"], "o", ["v"], 37, before="b", after="a", known=("v", "last"))
+    have = {(r["k"], r["o"]): (r["b"] and tuple(r["b"]), r["a"] and tuple(r["a"]), r["last"]) for r in out.collect()}
+    want = {}
+    for key in ("x", "y"):
+        line = sorted((o, v) for k, o, v in rows if k == key and o is not None)
+        for i, (o, _) in enumerate(line):
+            want[key, o] = (line[i - 1] if i else None, line[i + 1] if i + 1 < len(line) else None, next((v for _, v in reversed(line[:i]) if v), None))
+    assert have == want
+    narrow = blocked.neighbour(df.groupBy("k", "o").agg(F.max("extra").alias("extra")), ["k"], "o", [], 37, "b").select("k", "o", "b")
+    narrow.collect()
+    plan = narrow._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Scan") == 1
+    assert blocked.beside(df.limit(0), ["k"], "o", [], 5, before="b").count() == 0
