@@ -13,6 +13,7 @@ Nothing is shared between texts, so the work is one narrow stage and any number
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -217,10 +218,35 @@ def _words_before(text: str, at: int) -> str:
     return text[start:at]
 
 
-def _lines_before(text: str, at: int) -> int:
-    """Where the line before a place's own begins, or its paragraph: no name begins earlier."""
-    own = text.rfind("\n", 0, at)
-    return max(text.rfind("\n", 0, max(0, own)) + 1, text.rfind("\n\n", 0, at) + 1, 0) if own >= 0 else 0
+def _name_may_begin(text: str, at: int) -> int:
+    """How far to the left of a place words go on that could be parts of a name: capitalised ones, initials, particles, and what a line's end has broken."""
+    while at:
+        end = at
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and (not text[start - 1].isspace() or text[start - 1] == "\n" and text[start - 2 : start - 1] == "-"):
+            start -= 1
+        word = text[start:end]
+        if not word or not (word.lstrip("([«\"„“")[:1].isupper() or word in _VONS) or "\n\n" in text[end:at]:
+            return at
+        at = start
+    return 0
+
+
+class Found:
+    """Spans with their kinds, and which characters they take."""
+
+    def __init__(self, size: int) -> None:
+        self.kinds: dict[tuple[int, int], str] = {}
+        self.taken = bytearray(size)
+
+    def put(self, start: int, end: int, kind: str) -> None:
+        self.kinds[start, end] = kind
+        self.taken[start:end] = b"\1" * (end - start)
+
+    def free(self, start: int, end: int) -> bool:
+        return 1 not in self.taken[start:end]
 
 
 class Finder:
@@ -231,7 +257,7 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind), by start, without overlaps."""
-        found: dict[tuple[int, int], str] = {}
+        found = Found(len(text))
         names: list[tuple[int, int]] = []
         language, addresses, numbers = Languages(text), {}, [0, 0]
         flat = text.replace("\n", " ")
@@ -282,11 +308,11 @@ class Finder:
             at = text.find("\n", at) + 1 or -1
         if "M." in text:
             names = [self._without_m(text, a, b) if language.french(a) else (a, b) for a, b in names]
-        self._names(text, names, sorted(found), found, language)
+        self._names(text, names, found, language)
         out, until = [], -1
         order = {EMAIL: 0, ID_NUMBER: 1, PHONE: 2, ADDRESS: 3, NAME: 4}
         claimed: list[tuple[int, int, str]] = []
-        for (a, b), kind in sorted(found.items(), key=lambda x: (order[x[1]], x[0][0], -x[0][1])):
+        for (a, b), kind in sorted(found.kinds.items(), key=lambda x: (order[x[1]], x[0][0], -x[0][1])):
             claimed.append((a, b, kind))
         claimed.sort(key=lambda x: (x[0], order[x[2]], -x[1]))
         for a, b, kind in claimed:
@@ -299,39 +325,41 @@ class Finder:
         return out
 
     @staticmethod
-    def _email(text: str, at: int, end: int, found: dict) -> None:
+    def _email(text: str, at: int, end: int, found: Found) -> None:
         stop = at - 1 if at and text[at - 1] == " " else at
         start = stop
         while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
             start -= 1
         right = _email_right.match(text, end)
         if right and start < stop and (text[stop - 1].isalnum() or text[stop - 1] == "_") and any(c.isalpha() for c in text[start:stop]):
-            found[(start, right.end())] = EMAIL
+            found.put(start, right.end(), EMAIL)
 
     @staticmethod
-    def _near(text: str, at: int, patterns: tuple, known: dict, found: dict) -> None:
+    def _near(text: str, at: int, patterns: tuple, known: dict, found: Found) -> None:
         """The address around a street word: its paragraph is read once for each kind of address."""
         lo = text.rfind("\n\n", 0, at) + 1
         for pattern in patterns:
             if (lo, pattern) not in known:
                 hi = text.find("\n\n", at)
                 known[lo, pattern] = [m.span() for m in pattern.finditer(text, lo, len(text) if hi < 0 else hi)]
-            for a, b in known[lo, pattern]:
-                if a <= at + 4 and b >= at and (a == 0 or not text[a - 1].isalnum()):
-                    found[(a, b)] = ADDRESS
+            spans = known[lo, pattern]
+            k = bisect_left(spans, at, key=lambda x: x[1])
+            for a, b in spans[k : k + 2]:
+                if a <= at + 4 and (a == 0 or not text[a - 1].isalnum()):
+                    found.put(a, b, ADDRESS)
                     return
 
     @staticmethod
-    def _identity(text: str, end: int, found: dict) -> None:
+    def _identity(text: str, end: int, found: Found) -> None:
         """The number that follows a cue in its sentence."""
         stop = _sentence_end.search(text, end)
         stop = stop.start() if stop else len(text)
         m = _ids.search(text, end, stop) or _id_at_cue.match(text, end, stop)
         if m and not NOT_PERSONAL.search(_words_before(text, m.start(m.lastindex or 0))):
-            found[m.span(m.lastindex or 0)] = ID_NUMBER
+            found.put(*m.span(m.lastindex or 0), ID_NUMBER)
 
     @staticmethod
-    def _number(text: str, at: int, until: list, found: dict) -> None:
+    def _number(text: str, at: int, until: list, found: Found) -> None:
         """A phone or identity number that begins with the digit at a place, or right before it. until: where the last of each kind ended."""
         if not _digits.match(text, at):
             return
@@ -341,7 +369,7 @@ class Finder:
                 if m:
                     until[0] = m.end()
                     if _id_alone.match(m.group()) and not NOT_PERSONAL.search(_words_before(text, m.start())):
-                        found.setdefault(m.span(), ID_NUMBER)
+                        found.put(*m.span(), found.kinds.get(m.span(), ID_NUMBER))
                     break
         if at >= until[1]:
             start = at
@@ -351,8 +379,8 @@ class Finder:
             if m:
                 until[1] = m.end()
                 digits = sum(c.isdigit() for c in m.group())
-                if 9 <= digits <= 15 and (m.group()[0] != "0" or digits >= 10) and not NOT_PERSONAL.search(_words_before(text, m.start())) and not any(a < m.end() and m.start() < b for a, b in found):
-                    found[m.span()] = PHONE
+                if 9 <= digits <= 15 and (m.group()[0] != "0" or digits >= 10) and not NOT_PERSONAL.search(_words_before(text, m.start())) and found.free(*m.span()):
+                    found.put(*m.span(), PHONE)
 
     @staticmethod
     def _accept(text: str, start: int, end: int, names: list) -> bool:
@@ -409,7 +437,7 @@ class Finder:
                 return
 
     def _left(self, text: str, at: int, names: list) -> None:
-        lo = _lines_before(text, at)
+        lo = _name_may_begin(text, at)
         m = _full_before.search(text[lo:at])
         if m:
             start = lo + m.start(1)
@@ -426,7 +454,7 @@ class Finder:
             self._accept(text, lo + m.start(1), at, names)
 
     def _versus(self, text: str, start: int, end: int, names: list) -> None:
-        lo = _lines_before(text, start)
+        lo = _name_may_begin(text, start)
         m = _full_before.search(text[lo:start])
         if m:
             self._accept(text, lo + m.start(1), start, names)
@@ -434,15 +462,16 @@ class Finder:
         if m:
             self._accept(text, *m.span(), names)
 
-    def _names(self, text: str, names: list, taken: list, found: dict, language: Languages) -> None:
+    def _names(self, text: str, names: list, found: Found, language: Languages) -> None:
         """Adds the names, and every further occurrence of their surnames."""
-        spans: dict[int, int] = {}
+        spans, covered = {}, bytearray(len(text))
         surnames: set[str] = set()
         given: set[str] = set()
         for a, b in names:
-            if any(x < b and a < y for x, y in taken):
+            if not found.free(a, b):
                 continue
             spans[a] = max(b, spans.get(a, 0))
+            covered[a:b] = b"\1" * (b - a)
             flat = re.sub(r"-\n(?=[a-z])", "", text[a:b]).replace("\n", " ")
             if "," in flat:
                 family, rest = (x.strip() for x in flat.split(",", 1))
@@ -465,13 +494,14 @@ class Finder:
                     start = self._grow(text, at, known)
                     if text.startswith("M.", start) and language.french(start):
                         start, _ = self._without_m(text, start, end)
-                    if not any(a < end and start < b for a, b in spans.items()) and not any(a < end and start < b for a, b in taken):
+                    if 1 not in covered[start:end] and found.free(start, end):
                         spans[start] = end
+                        covered[start:end] = b"\1" * (end - start)
                 at = text.find(family, end)
         until = -1
         for a, b in sorted(spans.items()):
             if a >= until:
-                found[(a, b)] = NAME
+                found.kinds[a, b] = NAME
                 until = b
 
     @staticmethod
