@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tidelake.operators.schema_lifespan import BAR_ALIASES
+#: The names that the test tables' bar messages use for one quantity, read off the tables and independent of the operator's alias table.
+BAR_NAMES = {
+    "open_time": ["openTime", "t_open"],
+    "close_time": ["closeTime"],
+    "volume": ["base_volume", "vol"],
+    "quote_volume": ["q_vol", "quoteVolume", "quote_asset_volume"],
+    "number_of_trades": ["numTrades", "trade_count"],
+    "taker_buy_base_volume": ["takerBuyBase", "taker_base_vol"],
+    "taker_buy_quote_volume": ["taker_quote_vol"],
+    "is_closed": ["closed", "is_final"],
+}
 
 
 def _ingest(column: str = "ingest_time") -> str:
@@ -37,7 +47,7 @@ _STATUS_ALL = (
     .replace("select order_id, epoch_ms(event_time) event_ms, st,", "select *, epoch_ms(event_time) event_ms,")
 )
 
-_ALIASES = ", ".join(f"('{alias}', '{own}')" for own, others in BAR_ALIASES.items() for alias in [own, *others])
+_ALIASES = ", ".join(f"('{alias}', '{own}')" for own, others in BAR_NAMES.items() for alias in [own, *others])
 
 #: Messages of raw_klines one by one, their fields with types, and where each field stood before and stands next.
 _FIELDS = f"""
@@ -57,7 +67,7 @@ paired as (select *, kind <> 'retyped' and count(*) filter (kind <> 'retyped') o
 
 
 def _read(column: str) -> str:
-    names = ", ".join(f"""j->>'$."{n}"'""" for n in [column, *BAR_ALIASES.get(column, [])])
+    names = ", ".join(f"""j->>'$."{n}"'""" for n in [column, *BAR_NAMES.get(column, [])])
     return f"nullif(trim(coalesce({names}, null)), '')"
 
 
