@@ -47,7 +47,9 @@ SHARDS_A_TASK = 6
 #: Characters of the passages looked for at once; more are looked for in several blocks.
 BLOCK_CHARS = 2_000_000
 #: Places looked at together while lists are intersected.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
+#: Pairs of a text and a passage that are counted in one array.
+DENSE = 1 << 23
 #: Words a worker remembers the spelling of.
 REMEMBERED = 300_000
 
@@ -114,26 +116,49 @@ class Vocabulary:
         return out
 
 
-def shard_rows(vocabulary: Vocabulary, texts: list[list[int]]) -> tuple[list[str], pa.Array, bytes, bytes]:
-    """terms, places (int32 gaps, the first from 0), starts of the texts (int64) and sketches (uint16) of one shard. GRAM empty places part the texts."""
+def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 as bytes, seven bits in each, the lowest first, all but the last marked; and how many bytes each took."""
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    start = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint8)
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        some = np.flatnonzero(sizes > k)
+        out[start[some] + k] = (numbers[some] >> 7 * k & 127) | ((sizes[some] > k + 1) << 7)
+    return out, sizes
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of pack(), and where the last byte of each stands."""
+    last = np.flatnonzero(packed < 128)
+    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), dtype=np.int64)
+    for k in range(int((last - start).max()) + 1 if len(last) else 0):
+        some = np.flatnonzero(start + k <= last)
+        out[some] |= (packed[start[some] + k].astype(np.int64) & 127) << 7 * k
+    return out, last
+
+
+def shard_rows(vocabulary: Vocabulary, texts: list[list[int]]) -> tuple[list[str], np.ndarray, pa.Array, bytes, bytes]:
+    """terms, how many places each has, the places (packed gaps, the first from 0), starts of the texts (int64) and sketches (uint16) of one shard. GRAM empty places part the texts."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + GRAM)[:-1]]).astype(np.int64)
     flat = np.fromiter((c for t in texts for c in t), dtype=np.int64, count=int(lengths.sum()))
     place = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(flat))
     order = np.argsort(flat, kind="stable")
-    code, at = flat[order], place[order].astype(np.int32)
+    code, at = flat[order], place[order]
     first = np.flatnonzero(np.diff(code, prepend=-1))
-    gaps = np.diff(at, prepend=np.int32(0)).astype(np.int32)
+    gaps = np.diff(at, prepend=0)
     gaps[first] = at[first]
-    ends = np.append(first, len(code)).astype(np.int32) * 4
-    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(gaps.tobytes())])
+    packed, sizes = pack(gaps)
+    ends = np.concatenate([(np.cumsum(sizes) - sizes)[first], [len(packed)]]).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
     marks = np.zeros(int((lengths + GRAM).sum()), dtype=np.uint16)
     marks[place] = np.array(vocabulary.sketches, dtype=np.uint16)[flat] if len(flat) else []
-    return [vocabulary.spelt[c] for c in code[first].tolist()], lists, starts.tobytes(), marks.tobytes()
+    return [vocabulary.spelt[c] for c in code[first].tolist()], np.diff(np.append(first, len(code))), lists, starts.tobytes(), marks.tobytes()
 
 
 def build_index(texts: DataFrame, key: str, text: str, path: str) -> None:
-    """Writes the index of all texts under a path: shard, term ('' in the head row), places, starts, sketches, keys. Null texts are in no shard.
+    """Writes the index of all texts under a path: shard, term ('' in the head row), n (its places, or the shard's texts), places (in the head row the texts' starts), sketches, keys. Null texts are in no shard.
 
     One narrow stage. A shard's number is made of the task's, so a task run again writes the same rows."""
     ship(texts.sparkSession)
@@ -146,12 +171,12 @@ def build_index(texts: DataFrame, key: str, text: str, path: str) -> None:
         number = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            terms, lists, starts, marks = shard_rows(known, held)
+            terms, counts, lists, starts, marks = shard_rows(known, held)
             n = len(terms)
             heads = pa.array([marks] + [None] * n, pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([number] * (n + 1), pa.int64()), pa.array(["", *terms], pa.string()), pa.concat_arrays([pa.array([starts], pa.binary()), lists]), heads, pa.array([keys] + [None] * n, pa.list_(arrow))],
-                ["shard", "term", "places", "sketches", "keys"],
+                [pa.array([number] * (n + 1), pa.int64()), pa.array(["", *terms], pa.string()), pa.array([len(keys), *counts.tolist()], pa.int64()), pa.concat_arrays([pa.array([starts], pa.binary()), lists]), heads, pa.array([keys] + [None] * n, pa.list_(arrow))],
+                ["shard", "term", "n", "places", "sketches", "keys"],
             )
 
         for b in batches:
@@ -169,7 +194,7 @@ def build_index(texts: DataFrame, key: str, text: str, path: str) -> None:
         if held:
             yield flush()
 
-    schema = f"shard bigint, term string, places binary, sketches binary, keys array<{kind.simpleString()}>"
+    schema = f"shard bigint, term string, n bigint, places binary, sketches binary, keys array<{kind.simpleString()}>"
     rows.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
@@ -260,12 +285,16 @@ def candidates(t: Phrases, phrase: np.ndarray, pos: np.ndarray, text: np.ndarray
     pair = np.repeat(text.astype(np.int64), n) * items + t.where_item[flat]
     if not len(pair):
         return pair, pair, pair
-    names, of, many = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero((HIDDEN * many >= need[names % items])[of])
+    if items * (int(text.max()) + 1) <= DENSE:
+        many = np.bincount(pair)
+        keep = np.flatnonzero((HIDDEN * many >= need[np.arange(len(many)) % items])[pair])
+    else:
+        names, of, many = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero((HIDDEN * many >= need[names % items])[of])
     pair, p, q = pair[keep], np.repeat(pos, n)[keep].astype(np.int64), t.where_pos[flat[keep]]
     if not len(pair):
         return pair, p, q
-    cluster = split(split(np.searchsorted(names, pair), p, HIDDEN + HEADER)[0], p - q, HEADER)[0]
+    cluster = split(split(pair, p, HIDDEN + HEADER)[0], p - q, HEADER)[0]
     cluster, by = split(cluster, q, HIDDEN)
     same = np.diff(cluster[by]) == 0
     adds = np.concatenate([[GRAM], np.where(same, np.diff(q[by]), GRAM)])
@@ -330,10 +359,11 @@ def without_formulas(spans: list[tuple[int, int, int]], rare: np.ndarray, alone:
 
 def _lists(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Places of several lists one after another, and how many each has."""
-    sizes = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-    gaps = np.frombuffer(b"".join(blobs), dtype=np.int32).astype(np.int64)
+    gaps, last = unpack(np.frombuffer(b"".join(blobs), dtype=np.uint8))
+    upto = np.searchsorted(last, np.cumsum([len(b) for b in blobs]), "left") if blobs else np.zeros(0, np.int64)
+    sizes = np.diff(upto, prepend=0)
     run = np.cumsum(gaps)
-    before = np.concatenate([[0], run[np.cumsum(sizes)[:-1] - 1]]) if len(blobs) else np.zeros(0, np.int64)
+    before = np.concatenate([[0], run[upto[:-1] - 1]]) if len(blobs) else np.zeros(0, np.int64)
     return run - np.repeat(before, sizes), sizes
 
 
