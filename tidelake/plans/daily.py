@@ -122,17 +122,19 @@ WINDOWS = [("2016-01-04 18:00:00", "2016-01-04 21:00:00"), ("2016-01-04 21:00:00
 
 
 def oracle() -> str:
+    """The rows as each window leaves them: an hour whose only order turned out to begin earlier keeps its row."""
     from tidelake.plans import merges, reference
     from tidelake.plans.problem_oracles import _ingest
 
     inside = f"({_ingest()} >= '{WINDOWS[0][0]}+00'::timestamptz and {_ingest()} < '{WINDOWS[1][1]}+00'::timestamptz)"
+    fold = lambda name, rows: f"{name} as (select order_id, arg_max({{'s': symbol}}, (event_time, case order_status when 'NEW' then 1 when 'PARTIALLY_FILLED' then 2 when 'DELETED' then 4 else 3 end, source_offset)).s symbol, min(event_time) c from {rows} group by 1)"
     hour = lambda c: f"cast(floor(epoch_ms({c}) / 3600000.0) as bigint)"
     return f"""with {reference._PARSED}, {merges._BARS}, {merges._FEED},
       trades as (select symbol, trade_id, arg_min(time_ms, (source_offset, source_partition)) time_ms, count(*) from parsed where trade_id is not null and symbol is not null and {inside} group by 1, 2),
       klines as (select distinct symbol, kline_interval, open_time from bars where {inside}), events as (select * from feed where {inside} and ingest_time is not null),
-      orders as (select order_id, arg_max({{'s': symbol}}, (event_time, case order_status when 'NEW' then 1 when 'PARTIALLY_FILLED' then 2 when 'DELETED' then 4 else 3 end, source_offset)).s symbol, min(event_time) c from events group by 1)
+      {fold('first_orders', f"(select * from events where {_ingest()} < '{WINDOWS[0][1]}+00'::timestamptz)")}, {fold('orders', 'events')}
       select 'processed_trades' table_name, count(*) n from trades union all select 'staging_klines', count(*) from klines union all select 'processed_klines', count(*) from klines
       union all select 'staging_orders', count(*) from (select distinct order_id, order_status, event_time from events) union all select 'processed_orders', count(*) from orders
       union all select 'market_hourly_summary', count(*) from (select symbol, cast(floor(open_time / 3600000.0) as bigint) h from klines where kline_interval = '1m' union select symbol, cast(floor(time_ms / 3600000.0) as bigint) from trades where time_ms is not null)
-      union all select 'order_execution_summary', count(*) from (select distinct symbol, {hour('c')} from orders where symbol is not null)
+      union all select 'order_execution_summary', count(*) from (select symbol, {hour('c')} from first_orders where symbol is not null union select symbol, {hour('c')} from orders where symbol is not null)
       union all select 'pipeline_run_summary', 18"""
