@@ -12,7 +12,7 @@ STATUS_RANK = {"NEW": 1, "PARTIALLY_FILLED": 2, "FILLED": 3, "CANCELED": 3, "DEL
 def utc_timestamp(text: Column) -> Column:
     """Timestamp of a text with or without a zone; no zone means UTC, whatever the session's zone. Unreadable text is null."""
     text = F.trim(text)
-    zoned = text.rlike(r"(?i)(z|utc|[+-]\d{1,2}:?\d{2})$") & text.rlike(r"\d:\d")
+    zoned = F.right(text, F.lit(6)).rlike(r"(?i)(z|utc|[+-]\d{1,2}:?\d{2})$") & text.rlike(r"\d:\d")  # no zone is longer
     return F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
 
 
@@ -51,7 +51,8 @@ def order_status(status: Column, event_type: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(text, "^ORDER_", ""), "^CANCELLED$", "CANCELED")
         return F.when(text.isin(*STATUS_RANK), text)
 
-    return F.coalesce(read(status), read(event_type))
+    plain = lambda text: F.when(text.isin(*STATUS_RANK), text)  # noqa: E731  most need no reading
+    return F.coalesce(plain(status), read(status), plain(event_type), read(event_type))
 
 
 def status_rank(status: Column) -> Column:
