@@ -51,11 +51,16 @@ def raw_trade_ids(spark: SparkSession, d: str) -> DataFrame:
     return value.withColumns({"_symbol": symbol, "_trade_id": trade_id}).drop("_value")
 
 
+def parallelism(spark: SparkSession) -> int:
+    """How many shards or buckets to store for a session: as many as it shuffles into."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Trades with more than one row, in the raw log and in the typed table, as their stored quotient tables have them."""
     out = None
     for name, rows, symbol, trade in (("raw_trades", raw_trade_ids(spark, d), "_symbol", "_trade_id"), ("processed_trades", table(spark, d, "processed_trades"), "symbol", "trade_id")):
-        index = quotient_dedup.QuotientIndex(spark, scratch(spark, f"ids-{name}"))
+        index = quotient_dedup.QuotientIndex(spark, scratch(spark, f"ids-{name}"), (parallelism(spark) - 1).bit_length())
         index.count(rows, "all", F.col(symbol), F.col(trade))
         part = index.stored().filter("n > 1").select(F.lit(name).alias("table_name"), F.col("space").alias("symbol"), F.col("identifier").alias("trade_id"))
         out = part if out is None else out.unionByName(part)
@@ -193,7 +198,7 @@ def order_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def order_log(spark: SparkSession, path: str) -> change_log.ChangeLog:
     payload = ["_status", "event_time", "client_id", "symbol", "side", "order_type", "order_price", "order_qty", "filled_qty", "avg_fill_price", "source_partition", "source_offset", "ingest_time"]
-    return change_log.ChangeLog(spark, path, ["order_id"], [F.col("event_time"), F.col("_rank"), F.col("source_offset")], F.col("_kind"), payload)
+    return change_log.ChangeLog(spark, path, ["order_id"], [F.col("event_time"), F.col("_rank"), F.col("source_offset")], F.col("_kind"), payload, parallelism(spark))
 
 
 def p6_orders(spark: SparkSession, d: str) -> DataFrame:
